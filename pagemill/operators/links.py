@@ -40,6 +40,7 @@ class LinkOptions:
     """What to extract and keep. An empty tuple means no restriction.
 
     `process_value` maps an absolute URL Column to a URL or null; null drops it.
+    Without `with_text` only targets are read: text is empty and nofollow false.
     """
 
     tags: Sequence[str] | Callable[[str], bool] = ("a", "area")
@@ -82,17 +83,18 @@ def _native_links(markup: Column, o: LinkOptions) -> Column:
     opening = rf"(?is)<(?:{names})(?=[\s/>]){_ATTRS}"
     inner = rf"(?=(.*?)(?:</(?:{names})\s*+>|<(?:{names})[\s/>]|\z))"
     tags = F.regexp_extract_all(markup, F.lit(opening), 1)
-    texts = F.regexp_extract_all(markup, F.lit(opening + inner), 2)
-    zipped = F.arrays_zip(tags.alias("tag"), texts.alias("text")) if o.with_text else (
-        F.transform(tags, lambda t: F.struct(t.alias("tag"), F.lit("").alias("text")))
-    )
+    if o.with_text:
+        texts = F.regexp_extract_all(markup, F.lit(opening + inner), 2)
+        zipped = F.arrays_zip(tags.alias("tag"), texts.alias("text"))
+    else:
+        zipped = F.transform(tags, lambda t: F.struct(t.alias("tag")))
 
     def link(z: Column, name: str) -> Column:
-        return F.struct(
-            _attribute(z["tag"], name).alias("raw"),
-            urls.decode_entities(F.regexp_replace(z["text"], "(?s)<[^>]*>", "")).alias("text"),
-            _attribute(z["tag"], "rel").alias("rel"),
-        )
+        raw = _attribute(z["tag"], name).alias("raw")
+        if not o.with_text:
+            return F.struct(raw, F.lit("").alias("text"), F.lit(None).cast("string").alias("rel"))
+        text = urls.decode_entities(F.regexp_replace(z["text"], "(?s)<[^>]*>", ""))
+        return F.struct(raw, text.alias("text"), _attribute(z["tag"], "rel").alias("rel"))
 
     per_tag = F.transform(zipped, lambda z: F.array(*[link(z, name) for name in o.attrs]))
     return F.filter(F.flatten(per_tag), lambda x: x["raw"].isNotNull())
@@ -223,9 +225,3 @@ def extract_links(
     if urls_only:
         df = unique_urls(df)
     return explode_links(df, "page_id")
-
-
-def link_hrefs(markup: Column) -> Column:
-    """Distinct raw targets of a page, the light form a crawl needs."""
-    links = _native_links(markup, LinkOptions(with_text=False))
-    return F.array_distinct(F.transform(links, lambda x: x["raw"]))

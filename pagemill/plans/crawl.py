@@ -4,8 +4,8 @@ Fetching a URL is an equi-join with the page table. State lives in tables in the
 shared folder, bucketed by (site, URL):
 
 * facts    one row per (site, page): what the site asks of the page, parsed once
-* edges    (site, src, dst), bucketed by (site, src)
-* visited  (site, URL), bucketed alike and partitioned by depth
+* edges    (site, src, dst, inside the site or not), bucketed by (site, src)
+* visited  (site, URL, inside), bucketed alike and partitioned by depth
 
 A round reads only the last depth of visited, joins edges bucket by bucket,
 shuffles the new candidates once (partial distinct first, so a URL half the web
@@ -78,16 +78,13 @@ class CrawlResult:
         return found.withColumnRenamed("reached_url", "url")
 
 
-def one_copy_per_url(pages: DataFrame) -> DataFrame:
-    """page_id of the copy that stands for each canonical URL: the smallest.
+def page_index(pages: DataFrame) -> DataFrame:
+    """(page_key, page_id): the copy that stands for each canonical URL, which is
+    the one with the smallest id.
 
-    Only two narrow columns are shuffled, pre-aggregated, however many copies
-    one URL has."""
-    return (
-        pages.groupBy(urls.canonicalize_url(F.col("url")).alias("page_key"))
-        .agg(F.min("page_id").alias("page_id"))
-        .select("page_id")
-    )
+    Two narrow columns are shuffled, pre-aggregated, however many copies one URL has."""
+    key = urls.canonicalize_url(F.col("url")).alias("page_key")
+    return pages.groupBy(key).agg(F.min("page_id").alias("page_id"))
 
 
 def page_table(bound: DataFrame, options: CrawlOptions) -> DataFrame:
@@ -116,7 +113,7 @@ def page_table(bound: DataFrame, options: CrawlOptions) -> DataFrame:
 def site_facts(pages: DataFrame, sites: DataFrame, options: CrawlOptions = FULL) -> DataFrame:
     """One written row per (site, canonical page URL)."""
     parsed = materialize(page_table(bind_sites(pages, sites), options), "parsed")
-    return parsed.join(one_copy_per_url(pages), "page_id", "left_semi")
+    return parsed.join(page_index(pages), "page_id", "left_semi").select(*parsed.columns)
 
 
 def in_crawl_scope(url: Column, scope: Column, mode: str | None) -> Column:
@@ -152,7 +149,7 @@ def edges_of(facts: DataFrame, options: CrawlOptions, clicks: DataFrame | None)
             "site_key", F.col("page_key").alias("src"), "scope", F.explode(targets).alias("dst")
         )
     return rows.where(in_crawl_scope(F.col("dst"), F.col("scope"), options.scope)).select(
-        "site_key", "src", "dst"
+        "site_key", "src", "dst", F.col("dst").startswith(F.col("scope")).alias("inside")
     )
 
 
@@ -182,13 +179,10 @@ class _Table:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def _foreign_facts(new: DataFrame, known: DataFrame, pages: DataFrame, sites: DataFrame, options):
-    """Facts of pages reached from a site they do not belong to, or None."""
-    keys = new.select("site_key", urls.canonicalize_url(F.col("url")).alias("page_key")).distinct()
-    stored = pages.select(urls.canonicalize_url(F.col("url")).alias("page_key"), "page_id")
-    stored = stored.groupBy("page_key").agg(F.min("page_id").alias("page_id"))
-    unknown = keys.join(known.select("site_key", "page_key"), ["site_key", "page_key"], "left_anti")
-    pairs = materialize(unknown.join(stored, "page_key"), "foreign")
+def _foreign_facts(outside: DataFrame, index: DataFrame, pages: DataFrame, sites: DataFrame, options):
+    """Facts of stored pages that a site reached outside its own scope, or None."""
+    keys = outside.select("site_key", urls.canonicalize_url(F.col("url")).alias("page_key")).distinct()
+    pairs = materialize(keys.join(index, "page_key"), "foreign")
     if pairs.isEmpty():
         return None
     config = sites.select("site_key", *CONFIG)
@@ -209,8 +203,7 @@ def crawl(
     """
     spark = pages.sparkSession
     facts = site_facts(pages, sites, options)
-    if options.scope != "prefix":
-        facts = materialize(facts, "facts")
+    index = None
     clicks = None if landings is None else click_edges(landings)
     edges = _Table(spark, "edges", ["site_key", "src"])
     visited = _Table(spark, "visited", ["site_key", "url"], partition="depth")
@@ -223,34 +216,40 @@ def crawl(
         edges.append_clustered(edges_of(facts, options, clicks))
         start = catalog.seeds(sites) if seeds is None else seeds.select("site_key", "url")
         start = start.withColumn("url", identity(F.col("url"))).distinct()
-        visited.append_clustered(start.withColumn("depth", F.lit(0)))
-        depth = 0
+        inside = urls.canonicalize_url(F.col("url")).startswith(F.col("scope"))
+        start = start.join(sites.select("site_key", "scope"), "site_key").select(
+            "site_key", "url", inside.alias("inside"), F.lit(0).alias("depth")
+        )
+        visited.append_clustered(start)
+        depth, outside = 0, 1
         while options.max_depth is None or depth < options.max_depth:
-            frontier = visited.read().where(F.col("depth") == depth).select("site_key", "url")
-            if options.scope != "prefix":
-                more = _foreign_facts(frontier, facts, pages, sites, options)
+            frontier = visited.read().where(F.col("depth") == depth).drop("depth")
+            if outside and options.scope != "prefix":
+                index = materialize(page_index(pages), "index") if index is None else index
+                more = _foreign_facts(frontier.where(~F.col("inside")), index, pages, sites, options)
                 if more is not None:
                     facts = facts.unionByName(more)
                     edges.append_clustered(edges_of(more, options, clicks))
+            src = F.col("url")
             if depth == 0 or not canonical:
                 # Only here can the identity differ from the key of the page table.
-                frontier = frontier.select(
-                    "site_key", urls.canonicalize_url(F.col("url")).alias("url")
-                ).distinct()
+                src = urls.canonicalize_url(src)
             children = (
-                frontier.withColumnRenamed("url", "src")
+                frontier.select("site_key", src.alias("src"))
                 .join(edges.read(), ["site_key", "src"])
-                .select("site_key", identity(F.col("dst")).alias("url"))
+                .select("site_key", identity(F.col("dst")).alias("url"), "inside")
                 .distinct()
             )
             known = visited.read().select("site_key", "url")
             fresh = children.join(known, ["site_key", "url"], "left_anti")
             found = Observation()
-            counted = fresh.observe(found, F.count(F.lit(1)).alias("n"))
+            counted = fresh.observe(
+                found, F.count(F.lit(1)).alias("new"), F.count_if(~F.col("inside")).alias("outside")
+            )
             visited.append(counted.withColumn("depth", F.lit(depth + 1)))
-            if found.get["n"] == 0:
+            if found.get["new"] == 0:
                 break
-            depth += 1
+            depth, outside = depth + 1, found.get["outside"]
     finally:
         edges.drop()
         visited.drop()
