@@ -201,7 +201,12 @@ def _facts(html, conditions, next_xpaths, fields):
     return found
 
 
-@F.arrow_udf(FACTS_TYPE)
+def _once(returns):
+    """An Arrow UDF that the optimizer must not evaluate again in a pushed-down filter."""
+    return lambda f: F.arrow_udf(f, returns).asNondeterministic()
+
+
+@_once(FACTS_TYPE)
 def page_facts(
     html: pa.Array, conditions: pa.Array, next_xpaths: pa.Array, fields: pa.Array
 ) -> pa.Array:
@@ -210,7 +215,7 @@ def page_facts(
     return pa.array([_facts(*row) for row in rows], type=_FACTS_ARROW)
 
 
-@F.arrow_udf(T.StringType())
+@_once(T.StringType())
 def _pre_text(html: pa.Array) -> pa.Array:
     texts = [
         None if h is None else next(iter(Document(h).strings("/html/body/pre")), None)
@@ -250,7 +255,7 @@ def region_links(regions: list[str], tags, attrs):
             if attr_ok(name)
         ]
 
-    @F.arrow_udf(LINKS_TYPE)
+    @_once(LINKS_TYPE)
     def extract(html: pa.Array) -> pa.Array:
         return pa.array([one(h) for h in html.to_pylist()], type=_LINKS_ARROW)
 

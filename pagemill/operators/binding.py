@@ -26,11 +26,13 @@ def bind_sites(
     """
     sites, size = materialize_measured(sites.select("site_key", "host", *CONFIG), "sites")
     lengths = sites.groupBy("host").agg(F.collect_set(F.length("scope")).alias("_lengths"))
-    page_key = urls.canonicalize_url(F.col("url"))
+    # Never null, so that no filter on a join key is inferred and evaluated again.
+    page_key = F.coalesce(urls.canonicalize_url(F.col("url")), F.lit(""))
+    host = F.coalesce(urls.host_of(F.col("url")), F.lit(""))
     small = size <= broadcast_limit
 
     keyed = pages if small else pages.select("page_id", "url")
-    keyed = keyed.withColumn("page_key", page_key).withColumn("host", urls.host_of(F.col("page_key")))
+    keyed = keyed.withColumn("page_key", page_key).withColumn("host", host)
     if small:
         probed = keyed.join(F.broadcast(lengths), "host")
     else:

@@ -179,6 +179,17 @@ class _Table:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
+def expand(frontier: DataFrame, edges: DataFrame, known: DataFrame, identity) -> DataFrame:
+    """Unvisited children of the frontier. With bucketed edges and visited rows the
+    only shuffles are those of the frontier and of the distinct children."""
+    children = (
+        frontier.join(edges, ["site_key", "src"])
+        .groupBy("site_key", identity(F.col("dst")).alias("url"))
+        .agg(F.max("inside").alias("inside"))
+    )
+    return children.join(known, ["site_key", "url"], "left_anti")
+
+
 def _foreign_facts(outside: DataFrame, index: DataFrame, pages: DataFrame, sites: DataFrame, options):
     """Facts of stored pages that a site reached outside its own scope, or None."""
     keys = outside.select("site_key", urls.canonicalize_url(F.col("url")).alias("page_key")).distinct()
@@ -234,14 +245,8 @@ def crawl(
             if depth == 0 or not canonical:
                 # Only here can the identity differ from the key of the page table.
                 src = urls.canonicalize_url(src)
-            children = (
-                frontier.select("site_key", src.alias("src"))
-                .join(edges.read(), ["site_key", "src"])
-                .select("site_key", identity(F.col("dst")).alias("url"), "inside")
-                .distinct()
-            )
-            known = visited.read().select("site_key", "url")
-            fresh = children.join(known, ["site_key", "url"], "left_anti")
+            frontier = frontier.select("site_key", src.alias("src"))
+            fresh = expand(frontier, edges.read(), visited.read().select("site_key", "url"), identity)
             found = Observation()
             counted = fresh.observe(
                 found, F.count(F.lit(1)).alias("new"), F.count_if(~F.col("inside")).alias("outside")
