@@ -239,7 +239,7 @@ _LINKS_ARROW = pa.list_(
 
 def region_links(regions: list[str], tags, attrs):
     """UDF html -> raw links inside the nodes selected by each region path, regions
-    in order. `tags` and `attrs` are lists of names or a predicate on one name."""
+    in order; no region means the whole page. `tags` and `attrs` are lists of names or a predicate on one name."""
     tag_ok = tags if callable(tags) else frozenset(tags).__contains__
     attr_ok = attrs if callable(attrs) else frozenset(attrs).__contains__
 
@@ -247,8 +247,7 @@ def region_links(regions: list[str], tags, attrs):
         doc = Document(html or "")
         return [
             {"raw": value, "text": "".join(el.itertext()), "rel": el.get("rel")}
-            for region in regions
-            for top in doc.select(region)
+            for top in ([x for region in regions for x in doc.select(region)] if regions else [doc.root])
             for el in top.iter()
             if tag_ok(el.tag)
             for name, value in el.attrib.items()

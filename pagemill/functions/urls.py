@@ -20,6 +20,9 @@ _PATH = r"(?s)^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
 _QUERY = r"(?s)^[^?#]*(\?[^#]*)"
 _FRAGMENT = r"(?s)^[^#]*(#.*)"
 
+# Most links of a page: a plain web URL that is canonical as it stands.
+_PLAIN = r"^https?://[a-z0-9.\-]+/[^?#%]*$"
+
 # Named character references of HTML 4 (from the standard
 # library) and the one XML adds.
 _NAMED = {name: chr(code) for name, code in html.entities.name2codepoint.items()} | {"apos": "'"}
@@ -85,15 +88,30 @@ def resolve_parts(ref: Column, base: Column) -> Column:
 
 
 def clean_reference(raw: Column) -> Column:
-    """Trim HTML white space, drop tabs and line breaks, escape inner spaces."""
-    trimmed = F.regexp_replace(raw, r"^[ \t\r\n\f]+|[ \t\r\n\f]+$|[\t\r\n]", "")
-    return F.replace(trimmed, F.lit(" "), F.lit("%20"))
+    """Drop tabs and line breaks, trim, escape inner spaces."""
+    return F.replace(F.trim(F.translate(raw, "\t\r\n\f", "")), F.lit(" "), F.lit("%20"))
+
+
+def resolve_against(raw: Column, base: Column) -> Column:
+    """Resolve a raw reference against a split base. References that are a whole
+    web URL or a path from the root, without dot segments, need no splitting."""
+
+    def resolve(ref: Column) -> Column:
+        plain = ~ref.contains("/.")
+        rooted = ref.startswith("/") & ~ref.startswith("//")
+        whole = ref.startswith("http://") | ref.startswith("https://")
+        return (
+            F.when(plain & rooted, F.concat(base["scheme"], base["authority"], ref))
+            .when(plain & whole, ref)
+            .otherwise(let(split_url(ref), lambda r: resolve_parts(r, base)))
+        )
+
+    return let(clean_reference(raw), resolve)
 
 
 def resolve_url(ref: Column, base: Column) -> Column:
     """RFC 3986 reference resolution of `ref` against `base`."""
-    pair = F.struct(split_url(clean_reference(ref)).alias("r"), split_url(base).alias("b"))
-    return let(pair, lambda p: resolve_parts(p["r"], p["b"]))
+    return let(split_url(base), lambda b: resolve_against(ref, b))
 
 
 def _upper_escapes(text: Column) -> Column:
@@ -143,7 +161,7 @@ def canonicalize_url(url: Column, keep_fragment: bool = False) -> Column:
         parts = [scheme, authority, path, let(_upper_escapes(u["query"]), _sorted_query)]
         return F.concat(*parts, u["fragment"]) if keep_fragment else F.concat(*parts)
 
-    return let(split_url(url), build)
+    return let(url, lambda u: F.when(u.rlike(_PLAIN), u).otherwise(let(split_url(u), build)))
 
 
 def host_of(url: Column) -> Column:
@@ -156,11 +174,13 @@ def is_malformed(url: Column) -> Column:
     """Unbalanced or misplaced brackets in the authority, or a port that is no number."""
     authority = F.regexp_extract(url, _AUTHORITY, 1)
     well_formed = r"^(//(.*@)?(\[[0-9A-Fa-f:.]+\]|[^\[\]:]*)(:[0-9]*)?)?$"
-    return ~authority.rlike(well_formed)
+    return ~url.rlike(_PLAIN) & ~authority.rlike(well_formed)
 
 
 def extension_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(F.regexp_extract(url, _PATH, 1), r"\.([A-Za-z0-9]+)$", 1))
+    """Lower-case letters after the last dot of the path, or an empty string."""
+    pattern = r"(?s)^(?:[A-Za-z][A-Za-z0-9+.\-]*+:)?+(?://[^/?#]*+)?+[^?#]*\.([A-Za-z0-9]+)(?:[?#].*)?$"
+    return F.lower(F.regexp_extract(url, pattern, 1))
 
 
 def decode_entities(text: Column) -> Column:

@@ -30,7 +30,7 @@ SCHEMES = ("http", "https", "file", "ftp")
 
 # Fixed patterns. Possessive quantifiers keep Java's matcher from recursing
 # once per character; quoted values may contain ">".
-_IGNORED = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)"
+_IGNORED = r"(?s)<(?:!--.*?(?:-->|\z)|(?i:(script|style)\b.*?(?:</\1\s*>|\z)))"
 _ATTRS = r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
 _VALUE = r"""("[^"]*+"|'[^']*+'|[^\s>]++)"""
 
@@ -80,8 +80,8 @@ def visible_markup(html: Column) -> Column:
 
 def _native_links(markup: Column, o: LinkOptions) -> Column:
     names = "|".join(o.tags)
-    opening = rf"(?is)<(?:{names})(?=[\s/>]){_ATTRS}"
-    inner = rf"(?=(.*?)(?:</(?:{names})\s*+>|<(?:{names})[\s/>]|\z))"
+    opening = rf"(?s)<(?i:{names})(?=[\s/>]){_ATTRS}"
+    inner = rf"(?=(.*?)(?:</?(?i:{names})[\s/>]|\z))"
     tags = F.regexp_extract_all(markup, F.lit(opening), 1)
     if o.with_text:
         texts = F.regexp_extract_all(markup, F.lit(opening + inner), 2)
@@ -93,8 +93,9 @@ def _native_links(markup: Column, o: LinkOptions) -> Column:
         raw = _attribute(z["tag"], name).alias("raw")
         if not o.with_text:
             return F.struct(raw, F.lit("").alias("text"), F.lit(None).cast("string").alias("rel"))
-        text = urls.decode_entities(F.regexp_replace(z["text"], "(?s)<[^>]*>", ""))
-        return F.struct(raw, text.alias("text"), _attribute(z["tag"], "rel").alias("rel"))
+        plain = F.when(z["text"].contains("<"), F.regexp_replace(z["text"], "<[^>]*>", "")).otherwise(z["text"])
+        rel = F.when(F.lower(z["tag"]).contains("rel"), _attribute(z["tag"], "rel"))
+        return F.struct(raw, urls.decode_entities(plain).alias("text"), rel.alias("rel"))
 
     per_tag = F.transform(zipped, lambda z: F.array(*[link(z, name) for name in o.attrs]))
     return F.filter(F.flatten(per_tag), lambda x: x["raw"].isNotNull())
@@ -110,7 +111,8 @@ def document_base(markup: Column, page_url: Column) -> Column:
 
 
 def is_nofollow(rel: Column) -> Column:
-    return F.coalesce(F.array_contains(F.split(F.lower(rel), r"\s+"), "nofollow"), F.lit(False))
+    words = F.split(F.lower(rel), r"\s+")
+    return F.when(rel.isNull(), F.lit(False)).otherwise(F.array_contains(words, "nofollow"))
 
 
 def _any(tests) -> Column | None:
@@ -129,7 +131,7 @@ def link_allowed(url: Column, o: LinkOptions) -> Column:
     denied = DENIED_EXTENSIONS if o.deny_extensions is None else o.deny_extensions
     keep = F.lit(True)
     if o.schemes:
-        keep = keep & F.lower(F.regexp_extract(url, r"^([^:/?#]*)://", 1)).isin(*o.schemes)
+        keep = keep & F.lower(F.substring_index(url, "://", 1)).isin(*o.schemes)
     if o.allow:
         keep = keep & _any(url.rlike(p) for p in o.allow)
     if o.deny:
@@ -170,15 +172,12 @@ def with_links(
     df = df.withColumn("_base", urls.split_url(document_base(F.col("_markup"), F.col(url))))
     regions = [*o.restrict_xpaths, *map(dom.css_to_xpath, o.restrict_css)]
     if regions or callable(o.tags) or callable(o.attrs):
-        raw = dom.region_links(regions or ["//*/.."], o.tags, o.attrs)(F.col(html))
+        raw = dom.region_links(regions, o.tags, o.attrs)(F.col(html))
     else:
         raw = _native_links(F.col("_markup"), o)
 
     def resolved(x: Column, i: Column) -> Column:
-        absolute = urls.let(
-            urls.split_url(urls.clean_reference(x["raw"])),
-            lambda r: urls.resolve_parts(r, F.col("_base")),
-        )
+        absolute = urls.resolve_against(x["raw"], F.col("_base"))
         return F.struct(
             i.alias("pos"), absolute.alias("url"), F.coalesce(x["text"], F.lit("")).alias("text"),
             is_nofollow(x["rel"]).alias("nofollow"),

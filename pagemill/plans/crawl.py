@@ -74,8 +74,8 @@ class CrawlResult:
         keys = self.reached.where((F.col("status") == OK) & F.col("is_content")).select(
             "site_key", F.col("url").alias("reached_url"), urls.canonicalize_url(F.col("url")).alias("page_key")
         )
-        found = self.facts.withColumnRenamed("url", "page_url").join(keys, ["site_key", "page_key"])
-        return found.withColumnRenamed("reached_url", "url")
+        found = self.facts.select("site_key", "page_key", "page_id", "depart", F.struct("is_content", "values").alias("facts"))
+        return found.join(keys, ["site_key", "page_key"]).withColumnRenamed("reached_url", "url")
 
 
 def page_index(pages: DataFrame) -> DataFrame:
@@ -103,7 +103,8 @@ def page_table(bound: DataFrame, options: CrawlOptions) -> DataFrame:
         "page_key",
         "scope",
         "depart",
-        F.struct("facts.is_content", "facts.values").alias("facts"),
+        "facts.is_content",
+        "facts.values",
         predicates.is_error_page(F.col("url"), F.col("facts.error_body")).alias("is_error"),
         F.when(next_url.isNotNull(), resolved).alias("next_url"),
         F.array_distinct(F.transform("links", lambda x: x["url"])).alias("targets"),
@@ -136,7 +137,7 @@ def edges_of(facts: DataFrame, options: CrawlOptions, clicks: DataFrame | None)
     if options.error_filter:
         open_pages = open_pages.where(~F.col("is_error"))
     if not options.expand_content:
-        open_pages = open_pages.where(~F.col("facts.is_content"))
+        open_pages = open_pages.where(~F.col("is_content"))
     if clicks is not None:
         landed = clicks.select(urls.canonicalize_url(F.col("src")).alias("page_key"), "dst")
         rows = open_pages.select("site_key", "page_key", "scope").join(landed, "page_key")
@@ -231,8 +232,9 @@ def crawl(
         start = start.join(sites.select("site_key", "scope"), "site_key").select(
             "site_key", "url", inside.alias("inside"), F.lit(0).alias("depth")
         )
-        visited.append_clustered(start)
-        depth, outside = 0, 1
+        found = Observation()
+        visited.append_clustered(start.observe(found, F.count_if(~F.col("inside")).alias("outside")))
+        depth, outside = 0, found.get["outside"]
         while options.max_depth is None or depth < options.max_depth:
             frontier = visited.read().where(F.col("depth") == depth).drop("depth")
             if outside and options.scope != "prefix":
@@ -260,7 +262,7 @@ def crawl(
         visited.drop()
 
     reached = spark.read.schema("site_key string, url string, depth int").parquet(visited.path)
-    flags = facts.select("site_key", "page_key", "is_error", F.col("facts.is_content").alias("is_content"))
+    flags = facts.select("site_key", "page_key", "is_error", "is_content")
     status = (
         F.when(F.col("is_error").isNull(), MISSING)
         .when(F.col("is_error") & F.lit(options.error_filter), ERROR)

@@ -71,7 +71,7 @@ def route_listings(chain: DataFrame, facts: DataFrame) -> DataFrame:
         .select("site_key", "page_key")
         .distinct()
     )
-    flags = facts.select("site_key", "page_key", "is_error", F.col("facts.is_content").alias("is_content"))
+    flags = facts.select("site_key", "page_key", "is_error", "is_content")
     route = (
         F.when(F.col("is_error").isNull(), "missing")
         .when(F.col("is_content"), "emit")
