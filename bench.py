@@ -13,6 +13,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import SparkSession  # noqa: E402
 
 from checks import queries  # noqa: E402
+from pagemill.runtime import RECOMMENDED_CONF  # noqa: E402
 
 HEADLINE = [
     "unique_links", "extract_links", "canonical_urls", "link_filters", "link_regions", "error_pages",
@@ -32,7 +33,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
-        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config(map=RECOMMENDED_CONF)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

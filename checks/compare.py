@@ -11,6 +11,7 @@ import duckdb
 from pyspark.sql import SparkSession
 
 from checks import oracles, queries
+from pagemill.runtime import RECOMMENDED_CONF
 
 
 def session() -> SparkSession:
@@ -21,6 +22,7 @@ def session() -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config(map=RECOMMENDED_CONF)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

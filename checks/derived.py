@@ -59,6 +59,13 @@ def sites(source: DataFrame) -> DataFrame:
     return usable_sites(site_docs(source))
 
 
+def domain_list(source: DataFrame) -> DataFrame:
+    """Hosts of every seventh page, without their first label when there are four."""
+    host = urls.host_of(F.col("url"))
+    parent = F.regexp_replace(host, r"^[^.]+\.([^.]+\.[^.]+\.[^.]+)$", "$1")
+    return source.where("page_id % 7 = 0").select(parent.alias("domain"))
+
+
 def _anchor(path: Column, extra: str = "") -> Column:
     return F.concat(F.lit("<a href=\"/"), path.cast("string"), F.lit(f'"{extra}>x</a>'))
 

@@ -99,6 +99,14 @@ site_urls AS (SELECT s.link AS site_key, l.page_id, l.url FROM
   (SELECT page_id, page_url, url, text FROM links GROUP BY ALL) l JOIN sites s ON {ORIGIN.replace("url", "l.page_url")} = s.link)"""
 
 
+def by_domain_list(allow: bool) -> str:
+    h = host("p.url")
+    return f"""WITH domains AS (SELECT DISTINCT regexp_replace({host("url")}, '^[^.]+[.]([^.]+[.][^.]+[.][^.]+)$', '\\1') AS domain
+        FROM pages WHERE page_id % 7 = 0)
+      SELECT page_id, url FROM pages p WHERE {'' if allow else 'NOT'} EXISTS (
+        SELECT 1 FROM domains d WHERE {h} = d.domain OR ends_with({h}, '.' || d.domain))"""
+
+
 def scoped(deny: bool) -> str:
     hit = "(starts_with(url, site_key || 'en/') OR starts_with(url, site_key || 'de/'))"
     return f"WITH {BOUND} SELECT site_key, page_id, url FROM bound WHERE {'NOT ' if deny else ''}{hit}"
@@ -142,6 +150,8 @@ def registry() -> dict[str, str]:
               AND NOT regexp_matches(url, '^https?://([^/]+[.])?(spam-farm|theron)[.]example[.]org/')""",
         "url_filters": """SELECT page_id, url FROM pages WHERE NOT regexp_matches(url, '^[^?#]*[.]html([?#]|$)')
             AND NOT regexp_matches(url, '^https?://([^/]+[.])?example[.]net/')""",
+        "allow_domain_list": by_domain_list(True),
+        "deny_domain_list": by_domain_list(False),
         "link_regions": f"""WITH {LINKS}, again AS (SELECT page_id, 0 AS pos, url, text FROM links WHERE pos = 1
               UNION ALL SELECT page_id, pos + CASE WHEN n >= 2 THEN 1 ELSE 0 END, url, text
               FROM (SELECT *, count(*) OVER (PARTITION BY page_id) AS n FROM links))

@@ -127,6 +127,19 @@ def url_filters(spark, sf_dir):
     return D.pages(spark, sf_dir).where(links.link_allowed(F.col("url"), options)).select("page_id", "url")
 
 
+def _by_domain_list(spark, sf_dir, allow: bool):
+    source = D.pages(spark, sf_dir)
+    return links.filter_domains(source.select("page_id", "url"), D.domain_list(source), allow)
+
+
+def allow_domain_list(spark, sf_dir):
+    return _by_domain_list(spark, sf_dir, True)
+
+
+def deny_domain_list(spark, sf_dir):
+    return _by_domain_list(spark, sf_dir, False)
+
+
 def link_regions(spark, sf_dir):
     options = links.LinkOptions(restrict_xpaths=("//nav/ul/li[2]", "//article"), restrict_css=("nav ul", "div.ad"))
     return links.extract_links(D.pages(spark, sf_dir), options).select("page_id", "pos", "url", "text")
@@ -288,7 +301,7 @@ def stream_items(spark, sf_dir):
 ALL = [
     site_catalog, site_quarantine, site_lookup, seed_urls, page_scope_deny, page_scope_allow, error_pages,
     robots_filter, fetch_manifest, fetch_result, fetch_status, extract_links, link_attrs, link_filters,
-    url_filters, link_regions, canonical_urls, unique_links, content_pages, next_page, item_fields,
+    url_filters, allow_domain_list, deny_domain_list, link_regions, canonical_urls, unique_links, content_pages, next_page, item_fields,
     item_envelopes, item_quarantine, item_outbox, item_sink_roundtrip, crawl_log_roundtrip, crawl_full,
     crawl_items, crawl_leaf_stop, crawl_clicks, pagination_chain, listing_router, stream_links,
     stream_first_seen, stream_visits, stream_items,

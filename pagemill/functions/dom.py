@@ -71,6 +71,13 @@ class _Builder(HTMLParser):
                 del self.open[depth:]
                 return
 
+    def parse_html_declaration(self, i):
+        """Comments apart, `<!...>` is skipped up to its first `>`, as browsers do."""
+        if self.rawdata.startswith("<!--", i):
+            return self.parse_comment(i)
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
+
     def handle_data(self, data):
         parent = self.open[-1]
         if len(parent):
@@ -168,6 +175,7 @@ FACTS_TYPE = T.StructType(
         T.StructField("next_href", T.StringType()),
         T.StructField("error_body", T.StringType()),
         T.StructField("values", T.ArrayType(_VALUES_TYPE)),
+        T.StructField("failure", T.StringType()),
     ]
 )
 _FACTS_ARROW = pa.struct(
@@ -180,6 +188,7 @@ _FACTS_ARROW = pa.struct(
             "values",
             pa.list_(pa.struct([("name", pa.string()), ("values", pa.list_(pa.string()))])),
         ),
+        ("failure", pa.string()),
     ]
 )
 
@@ -211,8 +220,15 @@ def page_facts(
     html: pa.Array, conditions: pa.Array, next_xpaths: pa.Array, fields: pa.Array
 ) -> pa.Array:
     """Parse each page once and answer everything a site asks of it."""
-    rows = zip(html.to_pylist(), conditions.to_pylist(), next_xpaths.to_pylist(), fields.to_pylist())
-    return pa.array([_facts(*row) for row in rows], type=_FACTS_ARROW)
+
+    def one(*row):
+        try:
+            return _facts(*row)
+        except Exception as e:  # one bad page is reported and the others go on
+            return {"is_content": False, "failure": f"{type(e).__name__}: {e}"}
+
+    columns = (html.to_pylist(), conditions.to_pylist(), next_xpaths.to_pylist(), fields.to_pylist())
+    return pa.array([one(*row) for row in zip(*columns)], type=_FACTS_ARROW)
 
 
 @_once(T.StringType())

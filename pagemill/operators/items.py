@@ -18,6 +18,13 @@ def content_pages(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("facts.is_content"))
 
 
+def parse_quarantine(parsed: DataFrame) -> DataFrame:
+    """Pages whose parsing failed; they count as pages without content."""
+    return parsed.where(F.col("facts.failure").isNotNull()).select(
+        "site_key", "page_id", "url", F.lit("parse").alias("stage"), F.col("facts.failure").alias("reason")
+    )
+
+
 def extract_items(parsed: DataFrame) -> DataFrame:
     """Item rows of the content pages. A field no path matched is null, or absent
     from option_fields; the page URL comes first in link."""

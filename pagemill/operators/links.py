@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import dom, urls
+from pagemill.runtime import bounded_join
 
 # Extensions that never lead to a page (media, archives, office
 # files, programs), and the URL schemes links may have.
@@ -145,6 +146,29 @@ def link_allowed(url: Column, o: LinkOptions) -> Column:
     return keep
 
 
+def filter_domains(rows: DataFrame, domains: DataFrame, allow: bool, url: str = "url") -> DataFrame:
+    """Allow or deny by a domain list too long for an expression.
+
+    `domains` has a column `domain`. Only distinct hosts meet the list, through
+    their suffixes; the matched hosts then select the rows, salted or broadcast."""
+    hosts = rows.select(urls.host_of(F.col(url)).alias("_host")).distinct()
+    labels = F.split("_host", r"\.")
+    suffixes = F.transform(
+        F.sequence(F.lit(1), F.size(labels)),
+        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
+    )
+    listed = domains.select(F.lower("domain").alias("_suffix")).distinct()
+    matched = (
+        hosts.select("_host", F.explode(suffixes).alias("_suffix"))
+        .join(listed, "_suffix", "left_semi")
+        .select("_host")
+        .distinct()
+    )
+    keyed = rows.withColumn("_host", urls.host_of(F.col(url)))
+    how = "left_semi" if allow else "left_anti"
+    return bounded_join(keyed, matched, ["_host"], F.col(url), how).drop("_host")
+
+
 def _first_by(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
     """Keep the first of equal links in a sorted-array pass: n log n per page, where
     array_distinct on structs would compare all pairs."""

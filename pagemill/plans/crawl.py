@@ -36,8 +36,9 @@ OK, ERROR, MISSING = "ok", "error", "missing"
 @dataclass(frozen=True)
 class CrawlOptions:
     """`expand_content` False stops at content pages (leaf-stop). `scope` is
-    "prefix" (the URL starts with the site's link), "pattern" (the link is searched
-    in the URL as a regular expression) or None (no restriction)."""
+    "prefix" (the URL starts with the site's link), "rules" (that, and the site's
+    filter_urls with deny), "pattern" (the link is searched in the URL as a regular
+    expression) or None (no restriction)."""
 
     expand_content: bool = True
     error_filter: bool = True
@@ -48,9 +49,13 @@ class CrawlOptions:
     links: LinkOptions = LinkOptions(with_text=False)
 
     def __post_init__(self):
-        if self.scope not in ("prefix", "pattern", None):
+        if self.scope not in ("prefix", "rules", "pattern", None):
             raise ValueError(f"unknown scope {self.scope!r}")
 
+    @property
+    def leaves_site(self) -> bool:
+        return self.scope in ("pattern", None)
+
 
 FULL = CrawlOptions()
 LEAF_STOP = CrawlOptions(
@@ -69,6 +74,12 @@ class CrawlResult:
         """What a run writes to the crawl log: error pages are logged, absent ones not."""
         return self.reached.where(F.col("status").isin(OK, ERROR)).select("site_key", "url")
 
+    def failures(self) -> DataFrame:
+        """Quarantine rows of pages that could not be parsed."""
+        return self.facts.where(F.col("failure").isNotNull()).select(
+            "site_key", "page_id", "url", F.lit("parse").alias("stage"), F.col("failure").alias("reason")
+        )
+
     def content(self) -> DataFrame:
         """Parsed content pages among the reached ones, ready for item extraction."""
         keys = self.reached.where((F.col("status") == OK) & F.col("is_content")).select(
@@ -102,9 +113,12 @@ def page_table(bound: DataFrame, options: CrawlOptions) -> DataFrame:
         "url",
         "page_key",
         "scope",
+        "filter_urls",
+        "deny",
         "depart",
         "facts.is_content",
         "facts.values",
+        "facts.failure",
         predicates.is_error_page(F.col("url"), F.col("facts.error_body")).alias("is_error"),
         F.when(next_url.isNotNull(), resolved).alias("next_url"),
         F.array_distinct(F.transform("links", lambda x: x["url"])).alias("targets"),
@@ -117,7 +131,11 @@ def site_facts(pages: DataFrame, sites: DataFrame, options: CrawlOptions = FULL)
     return parsed.join(page_index(pages), "page_id", "left_semi").select(*parsed.columns)
 
 
-def in_crawl_scope(url: Column, scope: Column, mode: str | None) -> Column:
+def in_crawl_scope(url: Column, mode: str | None) -> Column:
+    """On rows that carry the site's scope, filter_urls and deny."""
+    scope = F.col("scope")
+    if mode == "rules":
+        return predicates.in_scope(url, scope, F.col("filter_urls"), F.col("deny"))
     if mode == "prefix":
         return url.startswith(scope)
     return F.rlike(url, scope) if mode == "pattern" else F.lit(True)
@@ -140,16 +158,16 @@ def edges_of(facts: DataFrame, options: CrawlOptions, clicks: DataFrame | None)
         open_pages = open_pages.where(~F.col("is_content"))
     if clicks is not None:
         landed = clicks.select(urls.canonicalize_url(F.col("src")).alias("page_key"), "dst")
-        rows = open_pages.select("site_key", "page_key", "scope").join(landed, "page_key")
+        rows = open_pages.select("site_key", "page_key", "scope", "filter_urls", "deny").join(landed, "page_key")
         rows = rows.withColumnRenamed("page_key", "src")
     else:
         targets = F.col("targets")
         if options.follow_next:
             targets = F.array_union(targets, F.array_compact(F.array("next_url")))
         rows = open_pages.select(
-            "site_key", F.col("page_key").alias("src"), "scope", F.explode(targets).alias("dst")
+            "site_key", F.col("page_key").alias("src"), "scope", "filter_urls", "deny", F.explode(targets).alias("dst")
         )
-    return rows.where(in_crawl_scope(F.col("dst"), F.col("scope"), options.scope)).select(
+    return rows.where(in_crawl_scope(F.col("dst"), options.scope)).select(
         "site_key", "src", "dst", F.col("dst").startswith(F.col("scope")).alias("inside")
     )
 
@@ -237,7 +255,7 @@ def crawl(
         depth, outside = 0, found.get["outside"]
         while options.max_depth is None or depth < options.max_depth:
             frontier = visited.read().where(F.col("depth") == depth).drop("depth")
-            if outside and options.scope != "prefix":
+            if outside and options.leaves_site:
                 index = materialize(page_index(pages), "index") if index is None else index
                 more = _foreign_facts(frontier.where(~F.col("inside")), index, pages, sites, options)
                 if more is not None:
@@ -277,3 +295,14 @@ def crawl(
         )
     )
     return CrawlResult(reached, facts)
+
+
+def crawl_by_mode(
+    pages: DataFrame, sites: DataFrame, modes: DataFrame, options: dict[str, CrawlOptions]
+) -> dict[str, CrawlResult]:
+    """One crawl per mode over the sites that `modes` (site_key, mode) assigns to it;
+    sites without a row there are not visited."""
+    return {
+        mode: crawl(pages, sites.join(modes.where(F.col("mode") == mode).select("site_key"), "site_key", "left_semi"), options=o)
+        for mode, o in options.items()
+    }

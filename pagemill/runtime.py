@@ -8,6 +8,18 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+# Session settings the engine is meant to run with; the caller applies them.
+RECOMMENDED_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Pages differ in size by orders of magnitude: bound Python batches by bytes.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Call sites of every expression cost time on the driver.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
 BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
 SALT_BUCKETS = 16
 
@@ -57,3 +69,14 @@ def salted_join(
     salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALT_BUCKETS)).cast("int"))
     salted_right = right.withColumn("_salt", F.explode(buckets))
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
+
+
+def bounded_join(
+    left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "inner"
+) -> DataFrame:
+    """Equi-join that measures `right` first: broadcast below BROADCAST_LIMIT_BYTES,
+    salted above."""
+    right, size = materialize_measured(right, "build")
+    if size <= BROADCAST_LIMIT_BYTES:
+        return left.join(F.broadcast(right), keys, how)
+    return salted_join(left, right, keys, spread, how)

@@ -51,6 +51,19 @@ def test_pattern_scope_and_depth_limit(spark):
     assert set(got) == {"/", "/l1", "/a"}
 
 
+def test_rules_scope_and_modes(spark):
+    sites = catalog.usable_sites(
+        golden.sites(spark, {"filter_urls": [H + "/a", H + "/l2"]}, {"key": "leaf"}, {"key": "off"})
+    )
+    modes = spark.createDataFrame([("g", "rules"), ("leaf", "leaf")], "site_key string, mode string")
+    options = {"rules": crawl.CrawlOptions(scope="rules"), "leaf": crawl.CrawlOptions(expand_content=False)}
+    found = crawl.crawl_by_mode(golden.pages(spark), sites, modes, options)
+    assert set(_status(found["rules"])) == {"/", "/l1", "/d1", "/d2", "/deep", "/gone"}
+    assert set(_status(found["leaf"])) == {"/", "/l1", "/a", "/d1", "/d2", "/l2", "/d3", "/e1"}
+    assert {r.site_key for r in found["leaf"].reached.collect()} == {"leaf"}
+    assert found["rules"].failures().isEmpty()
+
+
 def test_foreign_pages_are_judged_by_the_crawling_site(spark):
     """Site t links to a content page of site g; without scope t reaches and tests it."""
     sites = catalog.usable_sites(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import dom
 from pagemill.functions.dom import Document
+from pagemill.operators.items import parse_quarantine
 
 PAGE = """<html><head><meta name="d" content="dep"><title>T</title></head><body>
 <div class="ad x"><p>one<p>two <b>bold</b></div><ul><li>a<li>b<ul><li>c</ul></ul>
@@ -63,6 +64,23 @@ def test_odd_markup():
     assert Document(deep).strings("//p/text()") == ["x"]
 
 
+@pytest.mark.parametrize("junk", ["<![if IE]>", "<![odd[x]]>", "<!weird>", "<!DOCTYPE html>", "<![CDATA[x]]>", "<?php x ?>"])
+def test_declarations_never_fail(junk):
+    assert Document(junk + "<p>x</p>" + junk).strings("//p") == ["x"]
+    Document(junk[:-1])
+
+
+def test_a_failing_page_is_reported(spark):
+    rows = [(1, "<p>a</p>", ["//p"]), (2, "<p>b</p>", [None])]
+    df = spark.createDataFrame(rows, "page_id long, html string, c array<string>").withColumn(
+        "facts", dom.page_facts("html", "c", F.lit(None).cast("array<string>"), F.lit(None).cast("array<struct<name:string,xpath:string>>"))
+    )
+    got = {r.page_id: (r.facts.is_content, r.facts.failure) for r in df.collect()}
+    assert got[1] == (True, None) and got[2][0] is False and "TypeError" in got[2][1]
+    bad = parse_quarantine(df.withColumn("site_key", F.lit("s")).withColumn("url", F.lit("u"))).collect()
+    assert [(r.page_id, r.stage) for r in bad] == [(2, "parse")]
+
+
 def test_patterns_agree_between_engines(spark):
     """The same pattern checks a catalog in the JVM and paths in Python."""
     paths = ["//a[@class='x y']/@href", "//h1/text() | /b", "//a[2][last()]", "//a[position()>1]", "h1"]
