@@ -29,8 +29,12 @@ def session() -> SparkSession:
     return spark
 
 
+# How each engine names the same type.
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def compare(spark: SparkSession, con, name: str, sf_dir: str) -> str:
-    """Empty when rows and column names agree, else what differs."""
+    """Empty when rows, column names and types agree, else what differs."""
     got = queries.registry()[name](spark, sf_dir)
     columns = sorted(got.columns)
     rows = Counter(tuple(r) for r in got.select(*columns).collect())
@@ -38,6 +42,10 @@ def compare(spark: SparkSession, con, name: str, sf_dir: str) -> str:
     names = [d[0] for d in result.description]
     if sorted(names) != columns:
         return f"columns {columns} against {sorted(names)}"
+    types = {d[0]: str(d[1]) for d in result.description}
+    wrong = {c: (t, types[c]) for c, t in got.dtypes if TYPES[t] != types[c]}
+    if wrong:
+        return f"types {wrong}"
     order = [names.index(c) for c in columns]
     want = Counter(tuple(r[i] for i in order) for r in result.fetchall())
     if rows == want:

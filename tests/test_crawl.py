@@ -96,6 +96,16 @@ def test_reached_set_ignores_partitioning_and_copies(spark):
     assert _status(crawl.crawl(pages, sites)) == want
 
 
+def test_crawls_with_nothing_to_follow(spark):
+    """No links, no stored seed, no site: results are empty or one row, and runs end."""
+    sites = catalog.usable_sites(golden.sites(spark))
+    lonely = golden.pages(spark).where("page_id = 4").withColumn("url", F.lit(H + "/"))
+    assert _status(crawl.crawl(lonely, sites)) == {"/": (0, "ok")}
+    assert _status(crawl.crawl(golden.pages(spark).where("false"), sites)) == {"/": (0, "missing")}
+    for options in (crawl.FULL, crawl.LEAF_STOP):
+        assert _status(crawl.crawl(golden.pages(spark), sites.where("false"), options=options)) == {}
+
+
 def test_click_edges(spark):
     landings = spark.createDataFrame(
         [(H + "/", 0, H + "/l1"), (H + "/", 1, ""), (H + "/", 2, H + "/l1"), (H + "/l1", 0, H + "/d1"), (H + "/d1", 0, H + "/deep")],
