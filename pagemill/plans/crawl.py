@@ -126,9 +126,13 @@ def page_table(bound: DataFrame, options: CrawlOptions) -> DataFrame:
 
 
 def site_facts(pages: DataFrame, sites: DataFrame, options: CrawlOptions = FULL) -> DataFrame:
-    """One written row per (site, canonical page URL)."""
-    parsed = materialize(page_table(bind_sites(pages, sites), options), "parsed")
-    return parsed.join(page_index(pages), "page_id", "left_semi").select(*parsed.columns)
+    """One written row per (site, canonical page URL).
+
+    Pages are parsed where they are read. Only the narrow results meet the index,
+    on the unique page_id, and are written once for all later steps."""
+    parsed = page_table(bind_sites(pages, sites), options)
+    kept = parsed.join(page_index(pages).select("page_id"), "page_id", "left_semi")
+    return materialize(kept.select(*parsed.columns), "facts")
 
 
 def in_crawl_scope(url: Column, mode: str | None) -> Column:

@@ -80,18 +80,22 @@ def write_items(
 ) -> StreamingQuery:
     """Items, outbox and quarantine of arriving pages, one folder per batch.
 
-    A batch is parsed once; writing under its batch id makes a replay idempotent.
+    A batch is parsed once, without its html from there on; writing under its batch
+    id makes a replay idempotent. Pages that fail to parse are quarantined too.
     """
-    found = items.extract_items(items.with_facts(bind_sites(fine_pages(pages), sites)))
+    parsed = items.with_facts(bind_sites(pages, sites)).where(
+        ~predicates.is_error_page(F.col("url"), F.col("facts.error_body"))
+    ).select("site_key", "page_id", "url", "depart", "facts")
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            shaped = items.envelopes(items.valid_items(batch))
+            found = items.extract_items(batch)
+            shaped = items.envelopes(items.valid_items(found))
             tables = {
                 "items": shaped,
                 "outbox": outbox(shaped, server),
-                "quarantine": items.item_quarantine(batch),
+                "quarantine": items.item_quarantine(found).unionByName(items.parse_quarantine(batch)),
             }
             for name, table in tables.items():
                 table.write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
@@ -99,6 +103,6 @@ def write_items(
             batch.unpersist()
 
     return (
-        found.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+        parsed.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
