@@ -43,7 +43,7 @@ def spread_groups(rows: DataFrame, key: str, spread: Column, chunk: int = CHUNK)
     a cell, and no cell holds many more than 2 * chunk rows. A key of n rows is cut into
     ceil(n / chunk) chunks by `spread`, and each pair of chunks makes a cell."""
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > chunk)
-    sizes = sizes.select(key, F.ceil(F.col("_n") / chunk).cast("int").alias("_chunks"))
+    sizes = materialize(sizes.select(key, F.ceil(F.col("_n") / chunk).cast("int").alias("_chunks")), "large-groups")
     cut = rows.join(sizes, key, "left").withColumn("_chunks", F.coalesce("_chunks", F.lit(1)))
     cut = cut.withColumn("_own", F.pmod(F.xxhash64(F.lit("chunk"), spread), F.col("_chunks")).cast("int"))
     cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
@@ -114,6 +114,16 @@ def bit_links(prints: np.ndarray, max_bits: int, pivots: np.ndarray, accept=None
     return links
 
 
+def near_pairs(prints: np.ndarray, max_bits: int) -> np.ndarray:
+    """Which fingerprints of a cell have any other within max_bits bits."""
+    found = np.zeros(prints.size, bool)
+    for at in range(0, prints.size, 256):
+        block = prints[at : at + 256]
+        near = np.bitwise_count(block[:, None] ^ prints[None, :]) <= max_bits
+        found[at : at + 256] = near.sum(axis=1) > 1
+    return found
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): one row (node, root) for each node that is
     no root, with the smallest node of its component.

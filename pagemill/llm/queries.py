@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagemill.llm import mixing, sentencepiece_codec, simhash
+from pagemill.llm import line_dedup, mixing, sentencepiece_codec, simhash, toxicity
 from pagemill.llm import oracles as sql
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -23,6 +23,21 @@ def op3_simhash(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op4_line_dedup(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    found = line_dedup.removed_lines(docs).withColumnRenamed("id", "doc_id")
+    rows = docs.select("doc_id").join(found, "doc_id", "left")
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return rows.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.size(removed).alias("n_removed"), removed.alias("removed"))
+
+
+def op6_toxicity(spark, sf_dir):
+    docs, held_out = _table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = toxicity.learn(docs, _table(spark, sf_dir, "labels").where(~held_out))
+    scored = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_mixing(spark, sf_dir):
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     taken = (F.col("size") * F.col("copies")[0]).alias("taken")
@@ -37,7 +52,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-ALL = [op3_simhash, op8_mixing, op10_sentencepiece, pipeline]
+ALL = [op3_simhash, op4_line_dedup, op6_toxicity, op8_mixing, op10_sentencepiece, pipeline]
 
 
 def registry() -> dict:
