@@ -105,33 +105,68 @@ def _term_counts(texts: DataFrame, among: set[str] | None) -> DataFrame:
 
 
 def learn(
-    docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, least_docs: int = 5, least_share: float = 0.8,
+    docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, least_docs: int = 3, least_share: float = 0.9,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
 ) -> Model:
     """Fit on at most `max_labelled` labelled rows, chosen by a hash of the id; the
-    character model counts all of `docs`. A term is kept if at least `least_docs` toxic
-    texts have it and they are `least_share` of those that do; a shorter
-    beginning that is kept speaks for the longer ones."""
+    character model counts all of `docs`. A term may be kept if at least `least_docs` toxic
+    texts have it and they are `least_share` of those that do; see _covering for which are."""
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     chosen = chosen.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
     texts = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(F.col(text_col).cast("string").alias("text"), "toxic")
     texts = materialize(texts.dropDuplicates(["text"]), "labelled")
     toxic = _term_counts(texts.where("toxic = 1"), None).where(F.col("n") >= least_docs)
-    held = {r["term"]: r["n"] for r in toxic.orderBy(F.desc("n"), "term").limit(20 * MAX_TERMS).collect()}
+    held = {r["term"]: r["n"] for r in toxic.orderBy(F.desc("n"), "term").limit(4 * MAX_TERMS).collect()}
     clean = {r["term"]: r["n"] for r in _term_counts(texts.where("toxic = 0"), set(held)).collect()}
     sizes = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     share = {t: (n + 0.1) / (n + clean.get(t, 0) + 0.2) for t, n in held.items() if n >= least_share * (n + clean.get(t, 0))}
     words, stems = {}, {}
-    for term in sorted(share, key=lambda t: (t[0] == "=", len(t), t))[:MAX_TERMS]:
-        if not any(term[1:n] in stems for n in range(2, len(term) + (term[0] == "="))):
-            (words if term[0] == "=" else stems)[term[1:]] = share[term]
+    for term in _covering(texts.where("toxic = 1"), share, least_docs):
+        (words if term[0] == "=" else stems)[term[1:]] = share[term]
     total = sum(sizes.values())
     base = sizes.get(1, 0) / total if total else 0.0
     counts = {r["gram"]: r["n"] for r in letter_counts(docs, text_col).collect()}
     return Model(words, stems, min(0.5, base) / 2, *_character_model(counts, [*words, *stems]))
 
 
+def _covering(texts: DataFrame, share: dict[str, float], least_gain: int) -> list[str]:
+    """Terms by which most texts are told from others: each next one has the most texts
+    that no earlier one has, until none adds `least_gain`. Rare words that happen to
+    stand in a few copies of one toxic text thus stay out."""
+    terms = set(share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column(0):
+                tokens = {w for token in (text.as_py() or "").lower().split() if (w := token.strip(EDGES)).isalpha()}
+                found.append(sorted({t for w in tokens for t in term_candidates(w)} & terms))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["terms"])
+
+    whole = [r["terms"] for r in texts.select("text").mapInArrow(run, "terms array<string>").collect()] if terms else []
+    rows = [set(row) for row in whole]
+    gains = Counter(t for row in rows for t in row)
+    chosen: list[str] = []
+    while gains and len(chosen) < MAX_TERMS:
+        best = max(gains, key=lambda t: (gains[t] * share[t] ** 2, len(t), t))
+        if gains[best] < least_gain:
+            break
+        chosen.append(best)
+        for row in rows:
+            if best in row:
+                gains.subtract(row)
+                row.clear()
+        gains = +gains
+    # Terms as frequent as these are no accident either, though the same texts have them.
+    often = Counter(t for row in whole for t in row)
+    bar = max(5, max((often[t] for t in chosen), default=0) / 3)
+    for term in sorted((t for t in often if often[t] >= bar), key=lambda t: (-often[t] * share[t] ** 2, -len(t), t)):
+        if len(chosen) < MAX_TERMS and not any(term[1:].startswith(c[1:]) or c[1:].startswith(term[1:]) for c in chosen):
+            chosen.append(term)
+    return chosen
+
+
 def _character_model(counts: dict[str, int], terms: list[str]) -> tuple[dict[str, float], dict[str, float]]:
     """Log probabilities of bigrams, and of trigrams inside the terms."""
     first, second = Counter(), {}
@@ -172,7 +207,7 @@ class Scorer:
             options = [char] if char.isalpha() else list(LOOKALIKES.get(char, ""))
             spelled = [(o * k, -0.2 * (times > 2) - (0.0 if o == char else 1.0) * k) for o in options for k in range(1, min(times, 2) + 1) if times > 2 or k == times]
             if not char.isalpha():
-                spelled.append(("", -3.0 if char.isdigit() else -1.5))
+                spelled.append(("", -9.0 * times if char in LOOKALIKES else -0.5))
             following: dict[tuple[str, str], tuple[float, str]] = {}
             for (before, last), (value, letters) in states.items():
                 for added, cost in spelled:
