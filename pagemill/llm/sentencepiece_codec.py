@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
 SPACE = "▁"
-CACHED_UNITS = 300_000
+CACHED_UNITS = 80_000
 CACHED_CHARS = 48
 
 

@@ -36,7 +36,7 @@ STEM_LENGTHS = range(4, 9)
 EDGES = ".,;:!?\"'`()[]{}<>*#%&|-_=+~/\\…«»“”‘’"
 ALPHABET_END = 0x250
 MAX_TERMS = 5000
-CACHED_TOKENS = 400_000
+CACHED_TOKENS = 150_000
 TRIPLE = re.compile(r"(.)\1\1").search
 SPACED_RUN = 4
 
