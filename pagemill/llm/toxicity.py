@@ -5,7 +5,7 @@ one letter, single letters with spaces between) is a lattice of letters: each ch
 stands for itself, for the letters it resembles, or for nothing, and a run for one or two
 letters. The Viterbi path under a character model is the restored token. The model's bigrams
 come from all words of the corpus, and its trigrams from the learned toxic terms.
-Terms are words and word beginnings that labelled toxic texts have and others lack; a
+Terms are words, word beginnings and repeated word beginnings that labelled toxic texts have and others lack; a
 document's score is the noisy-or of the terms it holds.
 
 Defined results: null, empty and blank texts hold no term and get the score of texts
@@ -39,6 +39,7 @@ MAX_TERMS = 5000
 CACHED_TOKENS = 150_000
 TRIPLE = re.compile(r"(.)\1\1").search
 SPACED_RUN = 4
+LONGEST_TERM = 24
 
 
 @dataclass(frozen=True)
@@ -47,6 +48,7 @@ class Model:
 
     words: dict[str, float]
     stems: dict[str, float]
+    repeats: dict[str, float]
     floor: float
     bigrams: dict[str, float] = field(repr=False)
     trigrams: dict[str, float] = field(repr=False)
@@ -82,9 +84,12 @@ def _count(words: Counter, grams: Counter) -> None:
                 grams[marked[i : i + 2]] += n
 
 
-def term_candidates(word: str) -> list[str]:
-    """The word itself, marked "=", and its beginnings, marked "^"."""
-    return ["=" + word, *["^" + word[:n] for n in STEM_LENGTHS if n <= len(word)]]
+def document_terms(text: str) -> set[str]:
+    """What a text may be told by: its words, marked "="; their beginnings, marked "^"; and
+    beginnings of two different words or more, marked "+"."""
+    words = {w for token in set(text.lower().split()) if (w := token.strip(EDGES)).isalpha()}
+    stems = Counter(w[:n] for w in words for n in STEM_LENGTHS if n <= len(w))
+    return {"=" + w for w in words} | {"^" + s for s in stems} | {"+" + s for s, n in stems.items() if n > 1}
 
 
 def _term_counts(texts: DataFrame, among: set[str] | None) -> DataFrame:
@@ -94,8 +99,7 @@ def _term_counts(texts: DataFrame, among: set[str] | None) -> DataFrame:
         for batch in batches:
             counts: Counter = Counter()
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                tokens = set((text.as_py() or "").lower().split())
-                terms = {t for token in tokens if (w := token.strip(EDGES)).isalpha() for t in term_candidates(w)}
+                terms = document_terms(text.as_py() or "")
                 counts.update((t, toxic) for t in (terms if among is None else terms & among))
             rows = list(counts)
             columns = [pa.array([t for t, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.int32()), pa.array([counts[r] for r in rows], pa.int64())]
@@ -121,13 +125,14 @@ def learn(
     clean = {r["term"]: r["n"] for r in _term_counts(texts.where("toxic = 0"), set(held)).collect()}
     sizes = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     share = {t: (n + 0.1) / (n + clean.get(t, 0) + 0.2) for t, n in held.items() if n >= least_share * (n + clean.get(t, 0))}
-    words, stems = {}, {}
+    kinds: dict[str, dict[str, float]] = {"=": {}, "^": {}, "+": {}}
     for term in _covering(texts.where("toxic = 1"), share, least_docs):
-        (words if term[0] == "=" else stems)[term[1:]] = share[term]
+        kinds[term[0]][term[1:]] = share[term]
     total = sum(sizes.values())
     base = sizes.get(1, 0) / total if total else 0.0
     counts = {r["gram"]: r["n"] for r in letter_counts(docs, text_col).collect()}
-    return Model(words, stems, min(0.5, base) / 2, *_character_model(counts, [*words, *stems]))
+    model = _character_model(counts, [word for terms in kinds.values() for word in terms])
+    return Model(kinds["="], kinds["^"], kinds["+"], min(0.5, base) / 2, *model)
 
 
 def _covering(texts: DataFrame, share: dict[str, float], least_gain: int) -> list[str]:
@@ -138,10 +143,7 @@ def _covering(texts: DataFrame, share: dict[str, float], least_gain: int) -> lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text in batch.column(0):
-                tokens = {w for token in (text.as_py() or "").lower().split() if (w := token.strip(EDGES)).isalpha()}
-                found.append(sorted({t for w in tokens for t in term_candidates(w)} & terms))
+            found = [sorted(document_terms(text.as_py() or "") & terms) for text in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["terms"])
 
     whole = [r["terms"] for r in texts.select("text").mapInArrow(run, "terms array<string>").collect()] if terms else []
@@ -221,23 +223,26 @@ class Scorer:
         ends = [(value + self.letter(a, b, "$"), letters) for (a, b), (value, letters) in states.items()]
         return max(ends, default=(0.0, ""))[1]
 
-    def plain(self, word: str) -> float:
-        model = self.model
+    def plain(self, word: str) -> tuple[float, list[str]]:
+        """The strongest term in a word, and beginnings that count when repeated."""
+        model, doubled = self.model, []
         best = model.words.get(word, 0.0)
         for n in STEM_LENGTHS:
             if n > len(word):
                 break
             best = max(best, model.stems.get(word[:n], 0.0))
-        return best
-
-    def token(self, token: str) -> float:
-        value = self.cache.get(token)
-        if value is None:
-            value = max(self.plain(word) for word in self.readings(token))
-            if len(self.cache) >= CACHED_TOKENS:
-                self.cache.clear()
-            self.cache[token] = value
-        return value
+            if word[:n] in model.repeats:
+                doubled.append(word[:n])
+        return best, doubled
+
+    def token(self, token: str) -> tuple[float, list[str]] | None:
+        """As plain(), over all readings; None if there is nothing."""
+        found = [self.plain(word) for word in self.readings(token)]
+        value, doubled = max(v for v, _ in found), sorted({s for _, stems in found for s in stems})
+        if len(self.cache) >= CACHED_TOKENS:
+            self.cache.clear()
+        self.cache[token] = answer = (value, doubled) if value or doubled else None
+        return answer
 
     def readings(self, token: str) -> list[str]:
         """The token without symbols around it and, if it may hide a word, restored."""
@@ -262,15 +267,25 @@ class Scorer:
         marks = "".join(["1" if len(t) == 1 else "0" for t in tokens])
         return ["".join(tokens[m.start() : m.end()]) for m in re.finditer("1" * SPACED_RUN + "+", marks)]
 
+    def inside(self, letters: str) -> float:
+        """The strongest term anywhere in letters whose word ends are lost."""
+        words, stems, best = self.model.words, self.model.stems, 0.0
+        for i in range(len(letters)):
+            for j in range(i + min(STEM_LENGTHS), min(len(letters), i + LONGEST_TERM) + 1):
+                part = letters[i:j]
+                best = max(best, words.get(part, 0.0), stems.get(part, 0.0))
+        return best
+
     def document(self, text: str) -> tuple[float, int]:
         """Score, and how many different terms it rests on."""
         tokens = text.lower().split()
         cache, token = self.cache, self.token
-        values = [v for t in set(tokens) if (v := cache.get(t) if t in cache else token(t))]
+        found = [v for t in set(tokens) if (v := cache[t] if t in cache else token(t))]
+        values = [value for value, _ in found if value]
+        stems = Counter(stem for _, doubled in found for stem in doubled)
+        values += [self.model.repeats[stem] for stem, n in stems.items() if n > 1]
         for letters in self.spaced(tokens):
-            whole = letters if letters.isalpha() else self.restore(letters)
-            values.append(max((self.plain(whole[i:]) for i in range(len(whole))), default=0.0))
-            values.append(max((max((self.model.words.get(whole[i:j], 0.0) for j in range(i + 3, min(len(whole), i + 16) + 1)), default=0.0) for i in range(len(whole))), default=0.0))
+            values.append(self.inside(letters if letters.isalpha() else self.restore(letters)))
         missed = 1.0 - self.model.floor
         for value in values:
             missed *= 1.0 - value
