@@ -39,5 +39,104 @@ FROM sized JOIN goals USING (source) LEFT JOIN cuts USING (source)
 """
 
 
+OP2 = r"""
+WITH texts AS (
+    SELECT row_number() OVER () AS n, doc_id, source, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), windows AS (
+    SELECT n, unnest(range(1, len(words) - 1)) AS i, words FROM texts WHERE len(words) > 3
+), grams AS (
+    SELECT n, i, count(*) OVER (PARTITION BY n, words[i], words[i + 1], words[i + 2]) AS times FROM windows
+), covered AS (
+    SELECT n, count(DISTINCT i + d) AS n_repeat_words FROM grams, (SELECT unnest([0, 1, 2]) AS d) WHERE times > 1 GROUP BY n
+), lines AS (
+    SELECT n, count(*) - count(DISTINCT line) AS n_dup_lines
+    FROM (SELECT n, unnest(string_split(text, chr(10))) AS line FROM texts)
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY n
+), measured AS (
+    SELECT doc_id, source, len(words)::BIGINT AS n_words,
+           len(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+           (len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+           coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+    FROM texts LEFT JOIN covered USING (n) LEFT JOIN lines USING (n)
+), judged AS (
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured
+), hosts AS (
+    SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS failed FROM judged WHERE source IS NOT NULL GROUP BY source
+), sums AS (
+    SELECT count(*)::DOUBLE AS k, sum(n) AS n, sum(failed) / sum(n) AS mean, sum(failed / n * failed) / sum(n) AS squares FROM hosts
+), prior AS (
+    SELECT mean, CASE WHEN squares - mean * mean > mean * (1 - mean) * k / n
+           THEN least(greatest(mean * (1 - mean) / (squares - mean * mean - mean * (1 - mean) * k / n) - 1, 1.0), 1e6) ELSE 1e6 END AS strength FROM sums
+), rejected AS (
+    SELECT source, (failed + mean * strength) / (n + strength) > 0.5 AS host_rejected FROM hosts, prior
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(host_rejected, false) AS kept, coalesce(host_rejected, false) AS host_rejected
+FROM judged LEFT JOIN rejected USING (source)
+"""
+
+
+def _op9() -> str:
+    steps, before = [], "groups0"
+    for d in range(1, 5):
+        steps.append(f"""
+sums{d} AS (SELECT host, template, s{d} AS s, sum(n) AS n, sum(bad) AS bad, sum(bad + good) AS seen FROM {before} GROUP BY ALL),
+literal{d} AS (
+    SELECT *, bad / greatest(seen, 1) AS rate FROM sums{d} JOIN (SELECT host, template, sum(n) AS total FROM sums{d} GROUP BY ALL) USING (host, template)
+    WHERE n >= 0.05::DOUBLE * total AND s <> ''
+), before{d} AS (
+    SELECT *, lag(seen) OVER w AS seen0, lag(bad) OVER w AS bad0, lag(rate) OVER w AS rate0
+    FROM literal{d} WINDOW w AS (PARTITION BY host, template ORDER BY seen = 0, rate, s)
+), same{d} AS (
+    SELECT *, CASE WHEN seen = 0 AND seen0 = 0 THEN 0 WHEN seen > 0 AND seen0 > 0 AND rate - rate0 <= 1.96::DOUBLE * sqrt(
+        ((bad + bad0) / (seen + seen0)) * (1 - (bad + bad0) / (seen + seen0)) * (1 / seen + 1 / seen0)) THEN 0 ELSE 1 END AS step FROM before{d}
+), grouped{d} AS (
+    SELECT *, sum(step) OVER (PARTITION BY host, template ORDER BY seen = 0, rate, s) AS g FROM same{d}
+), branches{d} AS (
+    SELECT host, template, s, string_agg(s, '|' ORDER BY s) OVER (PARTITION BY host, template, g
+        ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS branch FROM grouped{d}
+), groups{d} AS (
+    SELECT x.* REPLACE (x.template || CASE WHEN s{d} = '' THEN '' ELSE '/' || coalesce(branch, '*') END AS template)
+    FROM {before} x LEFT JOIN branches{d} b ON x.host = b.host AND x.template = b.template AND x.s{d} = b.s
+)""")
+        before = f"groups{d}"
+    shape = r"CASE WHEN regexp_matches(x, '^[0-9]+(\.[A-Za-z0-9]+)?$') THEN regexp_replace(x, '[0-9]+', '{n}', 'g') WHEN regexp_matches(x, '^[0-9a-f]{8,}$') THEN '{h}' ELSE x END"
+    keys = "host, s1, s2, s3, s4, deeper"
+    return rf"""
+WITH split AS (
+    SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+    FROM pages
+), ruled AS (
+    SELECT *, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                   WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+                   WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+                   WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+                   WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+    FROM split
+), parts AS (
+    SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS decided,
+           list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: {shape}) AS p
+    FROM ruled
+), listed AS (
+    SELECT *, coalesce(p[1], '') AS s1, coalesce(p[2], '') AS s2, coalesce(p[3], '') AS s3, coalesce(p[4], '') AS s4, len(p) > 4 AS deeper FROM parts
+), groups0 AS (
+    SELECT {keys}, '' AS template, count(*)::DOUBLE AS n, (count(*) FILTER (decided = 'block'))::DOUBLE AS bad, (count(*) FILTER (decided = 'allow'))::DOUBLE AS good
+    FROM listed GROUP BY {keys}
+),{",".join(steps)},
+final AS (SELECT * REPLACE (CASE WHEN deeper THEN template || '/**' ELSE template END AS template) FROM {before}),
+everywhere AS (SELECT CASE WHEN sum(bad + good) > 0 THEN sum(bad) / sum(bad + good) ELSE 0 END AS rate FROM final),
+hosts AS (SELECT host, (sum(bad) + 2.0::DOUBLE * max(rate)) / (sum(bad) + sum(good) + 2.0::DOUBLE) AS host_rate FROM final, everywhere GROUP BY host),
+judged AS (
+    SELECT host, template, (sum(bad) + 2.0::DOUBLE * max(host_rate)) / (sum(bad) + sum(good) + 2.0::DOUBLE) >= 0.8::DOUBLE AS rejected
+    FROM final JOIN hosts USING (host) GROUP BY host, template
+)
+SELECT page_id, host, path, rule, coalesce(decided, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict, template
+FROM listed JOIN final USING ({keys}) JOIN judged USING (host, template)
+"""
+
+
 def registry() -> dict[str, str]:
-    return {"op8_mixing": OP8}
+    return {"op2_quality": OP2, "op8_mixing": OP8, "op9_url_filter": _op9()}

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagemill.llm import line_dedup, mixing, sentencepiece_codec, simhash, toxicity
+from pagemill.llm import line_dedup, mixing, quality, sentencepiece_codec, simhash, toxicity, url_filter
 from pagemill.llm import oracles as sql
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -17,6 +17,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality(spark, sf_dir):
+    judged = quality.judge(_table(spark, sf_dir, "documents"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select(F.col("id").alias("doc_id"), *counts, "base_failed", "kept", "host_rejected")
+
+
 def op3_simhash(spark, sf_dir):
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
     digits = F.lpad(F.lower(F.hex("print")), 16, "0")
@@ -44,6 +50,15 @@ def op8_mixing(spark, sf_dir):
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken)
 
 
+# The rules of the query.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op9_url_filter(spark, sf_dir):
+    judged = url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "template")
+
+
 def op10_sentencepiece(spark, sf_dir):
     return sentencepiece_codec.round_trip(_table(spark, sf_dir, "documents"), MODEL).withColumnRenamed("id", "doc_id")
 
@@ -52,7 +67,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-ALL = [op3_simhash, op4_line_dedup, op6_toxicity, op8_mixing, op10_sentencepiece, pipeline]
+ALL = [op2_quality, op3_simhash, op4_line_dedup, op6_toxicity, op8_mixing, op9_url_filter, op10_sentencepiece, pipeline]
 
 
 def registry() -> dict:
