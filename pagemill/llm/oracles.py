@@ -138,5 +138,21 @@ FROM listed JOIN final USING ({keys}) JOIN judged USING (host, template)
 """
 
 
+OP7 = """
+WITH usable AS (
+    SELECT vec_id, min(embedding::DOUBLE[]) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    GROUP BY vec_id
+), pairs AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score
+    FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+), ranked AS (
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM pairs
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def registry() -> dict[str, str]:
-    return {"op2_quality": OP2, "op8_mixing": OP8, "op9_url_filter": _op9()}
+    return {"op2_quality": OP2, "op7_vector_search": OP7, "op8_mixing": OP8, "op9_url_filter": _op9()}

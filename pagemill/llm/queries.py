@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagemill.llm import line_dedup, mixing, quality, sentencepiece_codec, simhash, toxicity, url_filter
+from pagemill.llm import line_dedup, mixing, quality, sentencepiece_codec, simhash, toxicity, url_filter, vector_search
 from pagemill.llm import oracles as sql
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -44,6 +44,11 @@ def op6_toxicity(spark, sf_dir):
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_vector_search(spark, sf_dir):
+    found = vector_search.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op8_mixing(spark, sf_dir):
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     taken = (F.col("size") * F.col("copies")[0]).alias("taken")
@@ -67,7 +72,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-ALL = [op2_quality, op3_simhash, op4_line_dedup, op6_toxicity, op8_mixing, op9_url_filter, op10_sentencepiece, pipeline]
+ALL = [op2_quality, op3_simhash, op4_line_dedup, op6_toxicity, op7_vector_search, op8_mixing, op9_url_filter, op10_sentencepiece, pipeline]
 
 
 def registry() -> dict:
