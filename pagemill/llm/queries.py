@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagemill.llm import line_dedup, mixing, quality, sentencepiece_codec, simhash, toxicity, url_filter, vector_search
+from pagemill.llm import line_dedup, lm_score, mixing, quality, sentencepiece_codec, simhash, toxicity, url_filter, vector_search
 from pagemill.llm import oracles as sql
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -17,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_score(spark, sf_dir):
+    return lm_score.score(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op2_quality(spark, sf_dir):
     judged = quality.judge(_table(spark, sf_dir, "documents"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -72,7 +76,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-ALL = [op2_quality, op3_simhash, op4_line_dedup, op6_toxicity, op7_vector_search, op8_mixing, op9_url_filter, op10_sentencepiece, pipeline]
+ALL = [op1_lm_score, op2_quality, op3_simhash, op4_line_dedup, op6_toxicity, op7_vector_search, op8_mixing, op9_url_filter, op10_sentencepiece, pipeline]
 
 
 def registry() -> dict:
