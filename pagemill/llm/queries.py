@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagemill.llm import line_dedup, lm_score, mixing, quality, sentencepiece_codec, simhash, toxicity, url_filter, vector_search
+from pagemill.llm import line_dedup, lm_score, mixing, quality, sentencepiece_codec, simhash, substring, toxicity, url_filter, vector_search
 from pagemill.llm import oracles as sql
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -41,6 +41,11 @@ def op4_line_dedup(spark, sf_dir):
     return rows.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.size(removed).alias("n_removed"), removed.alias("removed"))
 
 
+def op5_substring(spark, sf_dir):
+    found = substring.repeated_spans(substring.passages(_table(spark, sf_dir, "documents")))
+    return found.withColumnRenamed("id", "doc_id").withColumnRenamed("other", "other_id")
+
+
 def op6_toxicity(spark, sf_dir):
     docs, held_out = _table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     model = toxicity.learn(docs, _table(spark, sf_dir, "labels").where(~held_out))
@@ -76,7 +81,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-ALL = [op1_lm_score, op2_quality, op3_simhash, op4_line_dedup, op6_toxicity, op7_vector_search, op8_mixing, op9_url_filter, op10_sentencepiece, pipeline]
+ALL = [op1_lm_score, op2_quality, op3_simhash, op4_line_dedup, op5_substring, op6_toxicity, op7_vector_search, op8_mixing, op9_url_filter, op10_sentencepiece, pipeline]
 
 
 def registry() -> dict:
