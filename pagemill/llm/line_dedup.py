@@ -112,10 +112,19 @@ def edit_distance(one: str, other: str) -> int:
 
 
 def similar(one: str, other: str, least: float) -> bool:
-    longest = max(len(one), len(other))
-    if abs(len(one) - len(other)) > (1 - least) * longest:
+    """Whether the edit distance is at most (1 - least) of the longer text. Replacing the words
+    that differ, or all between the common ends, bounds it and settles most pairs."""
+    most = (1 - least) * max(len(one), len(other)) + 1e-9
+    if abs(len(one) - len(other)) > most:
         return False
-    return edit_distance(one, other) <= (1 - least) * longest + 1e-9
+    words, others = one.split(" "), other.split(" ")
+    if len(words) == len(others) and sum(max(len(a), len(b)) for a, b in zip(words, others, strict=True) if a != b) <= most:
+        return True
+    same = len(commonprefix([one, other]))
+    one, other = one[same:], other[same:]
+    same = len(commonprefix([one[::-1], other[::-1]]))
+    one, other = one[: len(one) - same], other[: len(other) - same]
+    return max(len(one), len(other)) <= most or edit_distance(one, other) <= most
 
 
 def _links(rows: DataFrame, key: str, max_bits: int, similarity: float | None) -> DataFrame:
