@@ -62,7 +62,7 @@ def test_pivot_links_connect_as_all_pairs_do():
     rng = np.random.default_rng(3)
     for _ in range(40):
         centres = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
-        prints = np.unique([c ^ np.uint64(sum(1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 5)))) for c in centres for _ in range(12)])
+        prints = np.unique([c ^ np.uint64(sum(1 << int(b) for b in set(rng.integers(0, 64, rng.integers(0, 5)).tolist()))) for c in centres for _ in range(12)])
         root = {i: i for i in range(prints.size)}
 
         def find(i, root=root):
