@@ -24,7 +24,8 @@ _PREDICATE = (
     r"\[\s*(?:\d+|last\(\)|@[\w:-]+(?:\s*~?=\s*(?:'[^']*'|\"[^\"]*\"))?"
     r"|contains\(\s*@[\w:-]+\s*,\s*(?:'[^']*'|\"[^\"]*\")\s*\))\s*\]"
 )
-_STEP = rf"//?(?:[A-Za-z][\w:-]*|\*|\.\.?)(?:{_PREDICATE})*"
+# Names have no colon: axes and prefixes are not supported, and must not look so.
+_STEP = rf"//?(?:[A-Za-z][\w-]*|\*|\.\.?)(?:{_PREDICATE})*"
 _PATH = rf"(?:{_STEP})+(?://?(?:text\(\)|@[\w:-]+))?"
 # A whole supported expression; valid in Java and Python, so a site catalog is
 # checked with rlike before any page is read.
@@ -36,7 +37,7 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 _IMPLIED_END = frozenset("p li td tr th dt dd option".split())
 _BOUNDARY = frozenset("ul ol dl table div article section body select".split())
 
-_step_re = re.compile(rf"(//?)(text\(\)|@[\w:-]+|[A-Za-z][\w:-]*|\*|\.\.?)((?:{_PREDICATE})*)")
+_step_re = re.compile(rf"(//?)(text\(\)|@[\w:-]+|[A-Za-z][\w-]*|\*|\.\.?)((?:{_PREDICATE})*)")
 _predicate_re = re.compile(
     r"\[\s*(?:(?P<n>\d+)|(?P<last>last\(\))|(?P<contains>contains\(\s*)?@(?P<k>[\w:-]+)"
     r"(?:\s*(?P<op>~?=|,)\s*(?:'(?P<v>[^']*)'|\"(?P<w>[^\"]*)\"))?\s*\)?)\s*\]"

@@ -23,9 +23,8 @@ _FRAGMENT = r"(?s)^[^#]*(#.*)"
 # Most links of a page: a plain web URL that is canonical as it stands.
 _PLAIN = r"^https?://[a-z0-9.\-]+/[^?#%]*$"
 
-# Named character references of HTML 4 (from the standard
-# library) and the one XML adds.
-_NAMED = {name: chr(code) for name, code in html.entities.name2codepoint.items()} | {"apos": "'"}
+# The named character references of HTML 5, from the standard library.
+_NAMED = {name[:-1]: text for name, text in html.entities.html5.items() if name.endswith(";")}
 
 
 def let(value: Column, body) -> Column:
@@ -149,11 +148,13 @@ def canonicalize_url(url: Column, keep_fragment: bool = False) -> Column:
         scheme = F.lower(u["scheme"])
         user = F.regexp_extract(u["authority"], r"^//(.*@)", 1)
         host = F.lower(F.substr(u["authority"], F.length(user) + 3))
-        port = F.when(scheme == "http:", F.lit(":(80)?$")).when(
-            scheme == "https:", F.lit(":(443)?$")
-        ).otherwise(F.lit(":$"))
+        # A colon inside an unclosed bracket, or after another colon, begins no port.
+        before = r"^(\[[^\[\]]*\]|[^\[\]:]*)"
+        port = F.when(scheme == "http:", F.lit(before + ":(80)?$")).when(
+            scheme == "https:", F.lit(before + ":(443)?$")
+        ).otherwise(F.lit(before + ":$"))
         authority = F.when(u["authority"] == "", F.lit("")).otherwise(
-            F.concat(F.lit("//"), user, F.regexp_replace(host, port, F.lit("")))
+            F.concat(F.lit("//"), user, F.regexp_replace(host, port, F.lit("$1")))
         )
         path = F.when((u["path"] == "") & (u["authority"] != ""), F.lit("/")).otherwise(
             _upper_escapes(u["path"])
@@ -183,8 +184,13 @@ def extension_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, pattern, 1))
 
 
+def path_end(url: Column) -> Column:
+    """The URL without query and fragment."""
+    return F.regexp_extract(url, r"(?s)^([^?#]*)", 1)
+
+
 def decode_entities(text: Column) -> Column:
-    """Decode numeric and HTML 4 named references that end in a semicolon."""
+    """Decode numeric and HTML 5 named references that end in a semicolon."""
     named = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
 
     def from_code(code: Column) -> Column:
@@ -202,7 +208,7 @@ def decode_entities(text: Column) -> Column:
         )
 
     def one(piece: Column, i: Column) -> Column:
-        name = F.regexp_extract(piece, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        name = F.regexp_extract(piece, r"^(#0*+[0-9]{1,7}|#[xX]0*+[0-9A-Fa-f]{1,6}|#0++|#[xX]0++|[A-Za-z][A-Za-z0-9]*);", 1)
         decoded = let(
             name,
             lambda n: F.coalesce(

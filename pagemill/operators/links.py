@@ -18,7 +18,8 @@ from pagemill.functions import dom, urls
 from pagemill.runtime import bounded_join
 
 # Extensions that never lead to a page (media, archives, office
-# files, programs), and the URL schemes links may have.
+# files, programs), as the default list of a well-known crawler library has them,
+# and the URL schemes links may have.
 DENIED_EXTENSIONS = (
     "7z 7zip bz2 rar tar tar.gz xz zip "
     "mng pct bmp gif jpg jpeg png pst psp tif tiff ai drw dxf eps ps svg cdr ico webp "
@@ -30,9 +31,17 @@ DENIED_EXTENSIONS = (
 SCHEMES = ("http", "https", "file", "ftp")
 
 # Fixed patterns. Possessive quantifiers keep Java's matcher from recursing
-# once per character; quoted values may contain ">".
-_IGNORED = r"(?s)<(?:!--.*?(?:-->|\z)|(?i:(script|style)\b.*?(?:</\1\s*>|\z)))"
-_ATTRS = r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
+# once per character. Quotes count only after "=", where quoted values may hold ">"
+# or "<"; elsewhere a "<" ends the scan, so unclosed tags cost no second look.
+_ATTRS = r"""((?:[^>"'=<]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)>"""
+# Comments, scripts and style sheets, or else a whole tag, which is group 2: a
+# comment sign within a tag's values is thus no comment.
+_IGNORED = (
+    r"(?s)<!--(?:-?>|.*?(?:-->|\z))|<(?i:(script|style)\b.*?(?:</\1\s*>|\z))|(<[A-Za-z/]" + _ATTRS + ")"
+)
+_TAG = r"<(?:[A-Za-z/]" + _ATTRS + "|[^>A-Za-z/][^>]*>)"
+# Elements that have no content.
+_VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 _VALUE = r"""("[^"]*+"|'[^']*+'|[^\s>]++)"""
 
 
@@ -76,17 +85,18 @@ def _attribute(tag: Column, name: str) -> Column:
 
 def visible_markup(html: Column) -> Column:
     """The page without comments, scripts and style sheets."""
-    return F.regexp_replace(html, _IGNORED, "")
+    return F.regexp_replace(html, _IGNORED, "$2")
 
 
 def _native_links(markup: Column, o: LinkOptions) -> Column:
     names = "|".join(o.tags)
-    opening = rf"(?s)<(?i:{names})(?=[\s/>]){_ATTRS}"
+    opening = rf"(?s)<((?i:{names}))(?=[\s/>]){_ATTRS}"
     inner = rf"(?=(.*?)(?:</?(?i:{names})[\s/>]|\z))"
-    tags = F.regexp_extract_all(markup, F.lit(opening), 1)
+    tags = F.regexp_extract_all(markup, F.lit(opening), 2)
     if o.with_text:
-        texts = F.regexp_extract_all(markup, F.lit(opening + inner), 2)
-        zipped = F.arrays_zip(tags.alias("tag"), texts.alias("text"))
+        elements = F.regexp_extract_all(markup, F.lit(opening), 1)
+        texts = F.regexp_extract_all(markup, F.lit(opening + inner), 3)
+        zipped = F.arrays_zip(tags.alias("tag"), texts.alias("text"), elements.alias("name"))
     else:
         zipped = F.transform(tags, lambda t: F.struct(t.alias("tag")))
 
@@ -94,7 +104,8 @@ def _native_links(markup: Column, o: LinkOptions) -> Column:
         raw = _attribute(z["tag"], name).alias("raw")
         if not o.with_text:
             return F.struct(raw, F.lit("").alias("text"), F.lit(None).cast("string").alias("rel"))
-        plain = F.when(z["text"].contains("<"), F.regexp_replace(z["text"], "<[^>]*>", "")).otherwise(z["text"])
+        plain = F.when(z["text"].contains("<"), F.regexp_replace(z["text"], _TAG, "")).otherwise(z["text"])
+        plain = F.when(F.lower(z["name"]).isin(*_VOID), F.lit("")).otherwise(plain)
         rel = F.when(F.lower(z["tag"]).contains("rel"), _attribute(z["tag"], "rel"))
         return F.struct(raw, urls.decode_entities(plain).alias("text"), rel.alias("rel"))
 
@@ -142,7 +153,10 @@ def link_allowed(url: Column, o: LinkOptions) -> Column:
     if o.deny_domains:
         keep = keep & ~urls.let(urls.host_of(url), lambda h: _in_domain(h, o.deny_domains))
     if denied:
-        keep = keep & ~urls.extension_of(url).isin(*[e.lower().lstrip(".") for e in denied])
+        endings = [e.lower().lstrip(".") for e in denied]
+        keep = keep & ~urls.extension_of(url).isin(*[e for e in endings if "." not in e])
+        for ending in (e for e in endings if "." in e):  # endings of several parts
+            keep = keep & ~F.lower(urls.path_end(url)).endswith("." + ending)
     return keep
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import predicates, urls
 from pagemill.operators.binding import CONFIG, bind_sites
 from pagemill.operators.items import with_facts
-from pagemill.operators.links import LinkOptions, with_links
+from pagemill.operators.links import LinkOptions, document_base, visible_markup, with_links
 from pagemill.runtime import materialize, salted_join, scratch_path
 from pagemill.sources import catalog
 
@@ -106,7 +106,8 @@ def page_table(bound: DataFrame, options: CrawlOptions) -> DataFrame:
     link_options = replace(options.links, unique=False, with_text=False)
     parsed = with_links(with_facts(bound), link_options)
     next_url = F.col("facts.next_href")
-    resolved = urls.canonicalize_url(urls.resolve_url(next_url, F.col("url")))
+    base = document_base(visible_markup(F.col("html")), F.col("url"))
+    resolved = F.when(next_url.isNotNull(), urls.canonicalize_url(urls.resolve_url(next_url, base)))
     return parsed.select(
         "site_key",
         "page_id",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill import schema
-from pagemill.functions import predicates
+from pagemill.functions import predicates, urls
 
 # What a render request appends to the target URL.
 RENDER_QUERY = "&timeout=10&wait=0.5"
@@ -52,8 +52,10 @@ def fetch_manifest(
 
 
 def absent_urls(frontier: DataFrame, pages: DataFrame) -> DataFrame:
-    """Frontier rows with no stored page."""
-    return frontier.join(pages.select("url").distinct(), "url", "left_anti")
+    """Frontier rows with no stored page, whatever the spelling of its URL."""
+    key = urls.canonicalize_url(F.col("url")).alias("_key")
+    stored = pages.select(key).where("_key IS NOT NULL")
+    return frontier.withColumn("_key", key).join(stored, "_key", "left_anti").drop("_key")
 
 
 def normalise_fetch(results: DataFrame) -> DataFrame:
@@ -72,6 +74,7 @@ def fetch_status(log: DataFrame) -> DataFrame:
         url.alias("url"),
         F.when(ok, 200).otherwise(500).alias("status_code"),
         F.when(ok, F.col("content"))
+        # Fixed value: the text of a failed fetch.
         .otherwise(F.concat(F.lit("FAIL to load the address:"), url))
         .alias("body"),
     )

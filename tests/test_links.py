@@ -97,3 +97,33 @@ def test_nofollow_words(spark):
 def test_urls_with_a_base_outside_the_site(spark):
     html = '<base href="//cdn.example/a/"><a href="b">b</a>'
     assert rows(extract_links(page(spark, html)))[0][1] == "http://cdn.example/a/b"
+
+
+MARKUP = [
+    ("<a href=/x title=don't>x</a><a href=/y>y</a>", ["/x", "/y"], ["x", "y"]),
+    ("<!--><a href='/1'>one</a><!---><a href='/2'>two</a><!-- <a href='/no'> -->", ["/1", "/2"], ["one", "two"]),
+    ('<a title="<!--" href="/1">a</a><a href="/2">b</a>', ["/1", "/2"], ["a", "b"]),
+    ('<area href="/m"><p>Hello world</p><a href="/n">n</a>', ["/m", "/n"], ["", "n"]),
+    ('<a href="/i"><img alt="a>b">t</a>', ["/i"], ["t"]),
+    ("<script>var x = '<a href=\"/s\">';</script><a href='/c'>&check; &#0000065;</a>", ["/c"], ["✓ A"]),
+    ("<a href='/f.tar.gz'>f</a><a href='/gz'>g</a>", ["/gz"], ["g"]),
+]
+
+
+def test_awkward_markup_loses_no_link(spark):
+    rows = [(i, "http://h.example/", html) for i, (html, _, _) in enumerate(MARKUP)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = extract_links(pages).orderBy("page_id", "pos").collect()
+    for i, (_, targets, texts) in enumerate(MARKUP):
+        mine = [r for r in found if r["page_id"] == i]
+        assert [r["url"].removeprefix("http://h.example") for r in mine] == targets, i
+        assert [r["text"] for r in mine] == texts, i
+
+
+def test_unclosed_tags_stay_linear(spark):
+    import time
+
+    pages = spark.createDataFrame([(1, "http://h.example/", "<a x " * 100_000)], "page_id long, url string, html string")
+    began = time.time()
+    assert extract_links(pages).count() == 0
+    assert time.time() - began < 20
