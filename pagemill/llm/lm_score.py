@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -138,10 +138,10 @@ def train(docs: DataFrame, words: Vocabulary, hidden: int, rounds: int, stride:
     weights = Network.start(words.log_prior, hidden)
     source = docs.select(F.col(text_col).cast("string").alias("text"))
     for number in range(rounds):
-        shared = docs.sparkSession.sparkContext.broadcast((words, weights))
+        shared = docs.sparkSession.sparkContext.broadcast((astuple(words), weights))
 
         def run(batches: Iterator[pa.RecordBatch], number=number, shared=shared) -> Iterator[pa.RecordBatch]:
-            known, own = shared.value[0], shared.value[1].copy()
+            known, own = Vocabulary(*shared.value[0]), shared.value[1].copy()
             network, seen, pad = Network(classes, hidden, own), 0, known.log_prior.size
             get, other, class_of = known.words.get, len(known.words), known.class_of
             windows: list[list[int]] = []
@@ -180,11 +180,11 @@ def score(
     """Rows (id, n_tokens, log_prob, mean_log_prob), one for each row of `docs`."""
     words = vocabulary(word_counts(docs, text_col), size, classes)
     weights = train(docs, words, hidden, rounds, stride, rate, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast((words, weights))
+    shared = docs.sparkSession.sparkContext.broadcast((astuple(words), weights))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, network = shared.value[0], Network(classes, hidden, shared.value[1])
+        known, network = Vocabulary(*shared.value[0]), Network(classes, hidden, shared.value[1])
         get, other = known.words.get, len(known.words)
         for batch in batches:
             sizes, sums = [], []

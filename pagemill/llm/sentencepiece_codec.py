@@ -268,14 +268,13 @@ def same_as_library(model_file: str, texts: list[str]) -> bool:
     return [own.encode(t) for t in texts] == ids and [own.decode(i) for i in ids] == [library.decode(i) for i in ids]
 
 
-_LOADED: dict[str, Codec] = {}
-
-
 def codec(model_file: str) -> Codec:
-    """One codec for each worker process and model."""
-    if model_file not in _LOADED:
-        _LOADED[model_file] = Codec(model_file)
-    return _LOADED[model_file]
+    """One codec for each worker process and model. The functions here travel by value, so a
+    global of theirs would be new in each task; the library's module stays."""
+    loaded = sentencepiece.__dict__.setdefault("_pagemill_codecs", {})
+    if model_file not in loaded:
+        loaded[model_file] = Codec(model_file)
+    return loaded[model_file]
 
 
 def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import astuple, dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -295,10 +295,10 @@ class Scorer:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, score, n_terms), one for each row of `docs`."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(astuple(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(Model(*shared.value))
         for batch in batches:
             made = [scorer.document(text.as_py() or "") for text in batch.column(1)]
             columns = [batch.column(0), pa.array([s for s, _ in made], pa.float64()), pa.array([n for _, n in made], pa.int64())]
@@ -310,10 +310,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def drop_toxic(docs: DataFrame, model: Model, least: float = 0.7, text_col: str = "text") -> DataFrame:
     """`docs` without those that score `least` or more. Texts are scored where they
     are, so no row moves, and rows with null or repeated ids are judged by their own texts."""
-    at, shared = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(model)
+    at, shared = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(astuple(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(Model(*shared.value))
         for batch in batches:
             keep = [scorer.document(text.as_py() or "")[0] < least for text in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
