@@ -112,8 +112,13 @@ def _keep(nodes, predicates):
     return nodes
 
 
-def _text_nodes(node):
-    return [t for t in [node.text, *(c.tail for c in node)] if t]
+def _text_parts(node):
+    parts = [(node, "text"), *((c, "tail") for c in node)]
+    return [part for part in parts if _string(*part)]
+
+
+def _string(node, part):
+    return node.attrib[part[1:]] if part.startswith("@") else getattr(node, part)
 
 
 class Document:
@@ -121,13 +126,28 @@ class Document:
 
     def __init__(self, html: str):
         self.root = parse(html)
-        self._rank = self._parent = None
+        self._rank = self._parent = self._place = None
 
     def _ordered(self, nodes):
         if self._rank is None:
             self._rank = {node: i for i, node in enumerate(self.root.iter())}
         return sorted(set(nodes), key=self._rank.__getitem__)
 
+    def _in_order(self, hits):
+        """Elements and (element, part) strings by their place in the page, each once."""
+        if self._place is None:
+            self._place, open_nodes = {}, [(self.root, False)]
+            while open_nodes:
+                node, is_left = open_nodes.pop()
+                if is_left:
+                    self._place[node, "tail"] = len(self._place)
+                    continue
+                for key in (node, *[(node, "@" + name) for name in node.attrib], (node, "text")):
+                    self._place[key] = len(self._place)
+                for child in reversed(node):
+                    open_nodes += [(child, True), (child, False)]
+        return sorted(set(hits), key=self._place.__getitem__)
+
     def _up(self, node):
         if self._parent is None:
             self._parent = {child: node for node in self.root.iter() for child in node}
@@ -141,9 +161,9 @@ class Document:
                     x for node in nodes for x in node.iter()
                 )
             if test == "text()":
-                return [t for node in nodes for t in _text_nodes(node)]
+                return [part for node in nodes for part in _text_parts(node)]
             if test.startswith("@"):
-                return [node.attrib[test[1:]] for node in nodes if test[1:] in node.attrib]
+                return [(node, test) for node in nodes if test[1:] in node.attrib]
             if test == "..":
                 nodes = self._ordered(p for p in map(self._up, nodes) if p is not None)
             elif test != ".":
@@ -156,11 +176,10 @@ class Document:
 
     def select(self, xpath: str):
         paths = re.findall(r"""(?:[^|'"]|'[^']*'|"[^"]*")+""", xpath)
-        if len(paths) == 1:
-            return self._one_path(paths[0])
         hits = [hit for path in paths for hit in self._one_path(path)]
-        elements = [hit for hit in hits if not isinstance(hit, str)]
-        return self._ordered(elements) + [hit for hit in hits if isinstance(hit, str)]
+        if len(hits) > 1 and (len(paths) > 1 or isinstance(hits[0], tuple)):
+            hits = self._in_order(hits)
+        return [_string(*hit) if isinstance(hit, tuple) else hit for hit in hits]
 
     def strings(self, xpath: str):
         return [x if isinstance(x, str) else "".join(x.itertext()) for x in self.select(xpath)]
@@ -234,11 +253,13 @@ def page_facts(
 
 @_once(T.StringType())
 def _pre_text(html: pa.Array) -> pa.Array:
-    texts = [
-        None if h is None else next(iter(Document(h).strings("/html/body/pre")), None)
-        for h in html.to_pylist()
-    ]
-    return pa.array(texts, type=pa.string())
+    def one(text):
+        try:
+            return next(iter(Document(text).strings("/html/body/pre")), None)
+        except Exception:  # page_facts reports such a page; here it has no error body
+            return None
+
+    return pa.array([None if h is None else one(h) for h in html.to_pylist()], type=pa.string())
 
 
 def error_body(html: Column) -> Column:
@@ -273,7 +294,13 @@ def region_links(regions: list[str], tags, attrs):
 
     @_once(LINKS_TYPE)
     def extract(html: pa.Array) -> pa.Array:
-        return pa.array([one(h) for h in html.to_pylist()], type=_LINKS_ARROW)
+        def guarded(text):
+            try:
+                return one(text)
+            except Exception:  # page_facts reports such a page; here it has no links
+                return []
+
+        return pa.array([guarded(h) for h in html.to_pylist()], type=_LINKS_ARROW)
 
     return extract
 

@@ -172,8 +172,9 @@ def edges_of(facts: DataFrame, options: CrawlOptions, clicks: DataFrame | None)
         rows = open_pages.select(
             "site_key", F.col("page_key").alias("src"), "scope", "filter_urls", "deny", F.explode(targets).alias("dst")
         )
+    key = urls.canonicalize_url(F.col("dst")) if clicks is not None or not options.links.canonicalize else F.col("dst")
     return rows.where(in_crawl_scope(F.col("dst"), options.scope)).select(
-        "site_key", "src", "dst", F.col("dst").startswith(F.col("scope")).alias("inside")
+        "site_key", "src", "dst", F.coalesce(key.startswith(F.col("scope")), F.lit(False)).alias("inside")
     )
 
 
@@ -214,9 +215,11 @@ def expand(frontier: DataFrame, edges: DataFrame, known: DataFrame, identity) ->
     return children.join(known, ["site_key", "url"], "left_anti")
 
 
-def _foreign_facts(outside: DataFrame, index: DataFrame, pages: DataFrame, sites: DataFrame, options):
-    """Facts of stored pages that a site reached outside its own scope, or None."""
+def _foreign_facts(outside: DataFrame, index: DataFrame, pages: DataFrame, sites: DataFrame, facts: DataFrame, options):
+    """Facts of stored pages that a site reached outside its own scope and that are
+    not among its `facts`, whatever the spelling of the URL, or None."""
     keys = outside.select("site_key", urls.canonicalize_url(F.col("url")).alias("page_key")).distinct()
+    keys = keys.join(facts.select("site_key", "page_key"), ["site_key", "page_key"], "left_anti")
     pairs = materialize(keys.join(index, "page_key"), "foreign")
     if pairs.isEmpty():
         return None
@@ -262,7 +265,7 @@ def crawl(
             frontier = visited.read().where(F.col("depth") == depth).drop("depth")
             if outside and options.leaves_site:
                 index = materialize(page_index(pages), "index") if index is None else index
-                more = _foreign_facts(frontier.where(~F.col("inside")), index, pages, sites, options)
+                more = _foreign_facts(frontier.where(~F.col("inside")), index, pages, sites, facts, options)
                 if more is not None:
                     facts = facts.unionByName(more)
                     edges.append_clustered(edges_of(more, options, clicks))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill import schema
@@ -54,9 +54,11 @@ def _checked(sites: DataFrame) -> DataFrame:
         .when(_unsupported(F.col("next_xpaths")), "next page is not supported")
         .when(_unsupported(xpaths), "field is not supported")
     )
-    return scan(sites).withColumn("next_xpaths", xpath_list(F.col("next_page_xpath"))).withColumn(
-        "reason", reason
-    )
+    # A key names one site: of several documents the first usable one by link stands.
+    same_key = Window.partitionBy("key").orderBy(F.col("reason").isNotNull(), "link", F.to_json(F.struct(*sites.columns)))
+    checked = scan(sites).withColumn("next_xpaths", xpath_list(F.col("next_page_xpath"))).withColumn("reason", reason)
+    repeated = F.when(F.row_number().over(same_key) > 1, "key is repeated")
+    return checked.withColumn("reason", F.coalesce("reason", repeated))
 
 
 def usable_sites(sites: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +27,33 @@ def stream_pages(spark: SparkSession, path: str, glob: str = "*.parquet", **opti
     )
 
 
-def decode_body(body: Column, charset: str = "UTF-8") -> Column:
-    """Text of a BINARY body in its response charset."""
-    return F.decode(body, charset)
+def _decoded(body: pa.Array, charset: pa.Array) -> pa.Array:
+    def one(data, name):
+        try:
+            # Through UTF-8 again: some codecs make surrogates, which no string may hold.
+            return data.decode(name, "replace").encode("utf-8", "replace").decode("utf-8")
+        except (LookupError, ValueError):
+            return None
+
+    pairs = zip(body.to_pylist(), charset.to_pylist())
+    return pa.array([None if data is None else one(data, name) for data, name in pairs], pa.string())
+
+
+def decode_body(body: Column, charset: str | Column = "UTF-8") -> Column:
+    """Text of a BINARY body in its response charset: a name, or a column of names with
+    null for UTF-8. Bytes that are no text become replacement characters; an unknown charset gives null.
+
+    UTF-8 and ISO-8859-1 are decoded natively, others by an Arrow UDF.
+    """
+    utf8 = F.make_valid_utf8(body.cast("string"))
+    if isinstance(charset, str):
+        charset, plain = F.lit(charset), {"UTF-8": utf8, "ISO-8859-1": F.decode(body, "ISO-8859-1")}.get(charset.upper())
+        if plain is not None:
+            return plain
+    name = F.upper(F.coalesce(charset, F.lit("UTF-8")))
+    convert = F.arrow_udf(_decoded, "string")
+    other = convert(F.when(name != "UTF-8", body), name)
+    return F.when(name == "UTF-8", utf8).otherwise(other)
 
 
 def robots_split(requests: DataFrame) -> tuple[DataFrame, DataFrame]:

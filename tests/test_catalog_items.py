@@ -129,3 +129,22 @@ def test_fetch_tables(spark):
     assert got == {"u": (None, None), "v": (200, {"a": "2"})}
     raw = spark.createDataFrame([(bytearray("é", "latin-1"),)], "b binary")
     assert raw.select(fetch.decode_body(F.col("b"), "ISO-8859-1")).first()[0] == "é"
+
+
+def test_bodies_in_any_charset(spark):
+    rows = [
+        (1, "é€".encode(), None), (2, "中文".encode("gbk"), "GBK"), (3, b"a\xffb", "utf-8"), (4, b"a\xffb", "GB18030"),
+        (5, b"abc", "no-such-charset"), (6, None, "GBK"), (7, b"", "Big5"), (8, b"\xe9", "latin1"), (9, b"abc", "base64"),
+    ]
+    raw = spark.createDataFrame(rows, "id int, b binary, charset string")
+    got = {r.id: r.text for r in raw.select("id", fetch.decode_body(F.col("b"), F.col("charset")).alias("text")).collect()}
+    assert got == {1: "é€", 2: "中文", 3: "a\ufffdb", 4: got[4], 5: None, 6: None, 7: "", 8: "é", 9: None}
+    assert "\ufffd" in got[4]
+    assert raw.where("id = 3").select(fetch.decode_body(F.col("b"))).first()[0] == "a\ufffdb"
+
+
+def test_a_repeated_key_is_one_site(spark):
+    sites = golden.sites(spark, {}, {}, {"link": "http://a.example/", "condition": ["//h1/following::p"]})
+    assert catalog.usable_sites(sites).count() == 1
+    reasons = sorted(r.reason for r in catalog.site_quarantine(sites).collect())
+    assert reasons == ["condition is not supported", "key is repeated"]

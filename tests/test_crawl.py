@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 from tests import golden
 
+from pagemill import schema
 from pagemill.operators import items
 from pagemill.plans import crawl, pagination
 from pagemill.sources import catalog
@@ -143,3 +144,19 @@ def test_chains_of_every_shape_match_a_plain_walk(spark):
         want |= {(str(i), n, str(u)) for n, u in enumerate(seen)}
     got = pagination.walk_chains(hops, hops.select("site_key", "url"))
     assert {(r.start, r.step, r.url) for r in got.collect()} == want
+
+
+def test_spellings_of_a_url_give_one_row_each(spark):
+    """A landing spelled otherwise, foreign pages at two depths and a repeated site key."""
+    sites = catalog.usable_sites(golden.sites(spark, {}, {}))
+    pages = spark.createDataFrame(
+        [(1, H + "/", ""), (2, H + "/b", ""), (3, "http://o.example/p", "")], schema.PAGES
+    )
+    landings = spark.createDataFrame(
+        [(H + "/", 1, "HTTP://G.example/b"), (H + "/", 2, "http://o.example/p#1"), (H + "/b", 1, "http://o.example/p#2")],
+        "src_url string, pos int, landed_url string",
+    )
+    reached = crawl.crawl(pages, sites, options=crawl.LEAF_STOP, landings=landings).reached
+    assert sorted((r.url, r.depth, r.status) for r in reached.collect()) == [
+        ("HTTP://G.example/b", 1, "ok"), (H + "/", 0, "ok"), ("http://o.example/p#1", 1, "ok"), ("http://o.example/p#2", 2, "ok"),
+    ]

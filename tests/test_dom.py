@@ -86,3 +86,11 @@ def test_patterns_agree_between_engines(spark):
     paths = ["//a[@class='x y']/@href", "//h1/text() | /b", "//a[2][last()]", "//a[position()>1]", "h1"]
     got = spark.createDataFrame([(p,) for p in paths], "p string").select(F.col("p").rlike(dom.XPATH_PATTERN)).collect()
     assert [r[0] for r in got] == [bool(re.search(dom.XPATH_PATTERN, p)) for p in paths]
+
+
+def test_strings_come_in_document_order_and_once():
+    doc = dom.Document("<article>x<p>a<b id=1>c<i>e</i>f</b>d</p>y</article><h1>t</h1>")
+    assert doc.strings("//article//text()") == ["x", "a", "c", "e", "f", "d", "y"]
+    assert doc.strings("//h1/text() | //h1/text()") == ["t"]
+    assert doc.strings("//h1/text() | //b/@id | //article/text()") == ["x", "1", "y", "t"]
+    assert doc.strings("//h1 | //b") == ["cef", "t"]
