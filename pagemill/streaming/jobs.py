@@ -83,7 +83,8 @@ def write_items(
     A batch is parsed once, without its html from there on; writing under its batch
     id makes a replay idempotent. Pages that fail to parse are quarantined too.
     """
-    parsed = items.with_facts(bind_sites(pages, sites)).where(
+    bound = bind_sites(pages.where(~predicates.has_climbing_path(F.col("url"))), sites)
+    parsed = items.with_facts(bound).where(
         ~predicates.is_error_page(F.col("url"), F.col("facts.error_body"))
     ).select("site_key", "page_id", "url", "depart", "facts")
 
