@@ -4,9 +4,13 @@ Words are counted over the whole corpus and dealt to classes of about equal freq
 network, trained in numpy, predicts the class of a word from the classes of the `WINDOW`
 words before and after it; within a class a word has its corpus share. A document's
 score is the sum of the log probabilities of all its words, each given all its neighbours.
+Every word of every text is trained on in each round.
 
-Defined results: null, blank and empty texts have no tokens, a sum of zero and a null mean; words
-outside the vocabulary share one class, evenly; an empty table gives no rows.
+The most frequent words come to the driver and get classes by their frequency. All others are dealt
+to the remaining classes by a hash, and their counts are joined, so no task holds them all.
+
+Defined results: null, blank and empty texts have no tokens, a sum of zero and a null mean;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,17 +29,24 @@ from pagemill.runtime import materialize
 
 WINDOW = 2
 BLOCK = 32_768
+BATCH = 512
 MOST_COUNTED = 300_000
 
 
 @dataclass
 class Vocabulary:
-    """The most frequent words with their classes; all other words are the last row."""
+    """The most frequent words with their classes; other words have the classes from first_rest."""
 
     words: dict[str, int]
     class_of: np.ndarray
     log_inside: np.ndarray
     log_prior: np.ndarray
+    log_sums: np.ndarray
+    first_rest: int
+
+
+def rest_class(word: str, first: int, classes: int) -> int:
+    return first + xxhash.xxh64_intdigest(word.encode()) % (classes - first)
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -58,26 +70,38 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, size: int, classes: int) -> Vocabulary:
-    """`size` words come to the driver; of the rest, only their number and sum."""
-    counts = materialize(counts, "word-counts")
+    """`size` words come to the driver; of the rest, only the sums of their classes. The rest has
+    a share of the classes that fits its share of the corpus."""
     top = counts.orderBy(F.desc("n"), "word").limit(size).collect()
-    total = counts.agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("n")).first()
+    words = {r["word"]: i for i, r in enumerate(top)}
+    total = counts.agg(F.sum("n")).first()[0] or 0
     known = sum(r["n"] for r in top)
-    rest, rest_types = (total["n"] or 0) - known, max(1, total["types"] - len(top))
-    class_of, filled, at = [], 0.0, 0
+    n_rest = min(classes - 1, max(1, round(classes * (total - known) / total))) if total > known else 0
+    first_rest, at, filled, class_of = classes - n_rest, 0, 0.0, []
     for r in top:  # frequent words get classes of their own, others share
         class_of.append(at)
         filled += r["n"]
-        if filled >= known * (at + 1) / (classes - 1) and at < classes - 2:
+        if filled >= known * (at + 1) / first_rest and at < first_rest - 1:
             at += 1
-    class_of.append(classes - 1)
-    class_of = np.array(class_of, np.int32)
-    n = np.array([r["n"] for r in top] + [rest], np.float64) + 1e-9
+    class_of, n = np.array(class_of, np.int32), np.array([r["n"] for r in top], np.float64)
     sums = np.bincount(class_of, n, classes)
-    inside = np.log(n / sums[class_of])
-    inside[-1] = -np.log(rest_types)
+    if n_rest:
+        shared = counts.sparkSession.sparkContext.broadcast(set(words))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part = [0] * classes
+            for batch in batches:
+                for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if word not in shared.value:
+                        part[rest_class(word, first_rest, classes)] += n
+            yield pa.RecordBatch.from_arrays([pa.array(range(classes), pa.int32()), pa.array(part, pa.int64())], ["class", "n"])
+
+        parts = counts.select("word", "n").mapInArrow(run, "class int, n long")
+        for r in parts.groupBy("class").agg(F.sum("n").alias("n")).collect():
+            sums[r["class"]] += r["n"]
+    log_sums = np.log(np.maximum(sums, 1))
     prior = np.log((sums + 1) / (sums.sum() + classes))
-    return Vocabulary({r["word"]: i for i, r in enumerate(top)}, class_of, inside, prior)
+    return Vocabulary(words, class_of, np.log(n) - log_sums[class_of], prior, log_sums, first_rest)
 
 
 class Network:
@@ -122,8 +146,20 @@ class Network:
         self.out -= h.T @ p
         self.out_bias -= p.sum(axis=0)
         self.bias -= back.sum(axis=0)
+        rows = np.arange(self.embed.shape[1])[:, None]
         for place, context in enumerate(contexts):
-            np.subtract.at(self.embed[place], context, back)
+            self.embed[place] -= (rows == context).astype(np.float32) @ back
+
+
+class _Classes(dict):
+    """The class of every word; only frequent ones are stored."""
+
+    def __init__(self, known: Vocabulary):
+        super().__init__(zip(known.words, known.class_of.tolist(), strict=True))
+        self.first, self.classes = known.first_rest, known.log_prior.size
+
+    def __missing__(self, word: str) -> int:
+        return rest_class(word, self.first, self.classes)
 
 
 def _contexts(padded: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -132,7 +168,7 @@ def _contexts(padded: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 
 def train(docs: DataFrame, words: Vocabulary, hidden: int, rounds: int, stride: int, rate: float, text_col: str = "text") -> np.ndarray:
     """Weights after `rounds` of parallel descent: every task starts from the same weights, learns from
-    one word in `stride` of each text in its part, and the results are averaged by their
+    all words of its part (or one in `stride` of each text), and the results are averaged by their
     number of words, in Spark. What trains grows with the corpus; what comes back doesn't."""
     classes = words.log_prior.size
     weights = Network.start(words.log_prior, hidden)
@@ -143,25 +179,36 @@ def train(docs: DataFrame, words: Vocabulary, hidden: int, rounds: int, stride:
         def run(batches: Iterator[pa.RecordBatch], number=number, shared=shared) -> Iterator[pa.RecordBatch]:
             known, own = Vocabulary(*shared.value[0]), shared.value[1].copy()
             network, seen, pad = Network(classes, hidden, own), 0, known.log_prior.size
-            get, other, class_of = known.words.get, len(known.words), known.class_of
-            windows: list[list[int]] = []
-
-            def learn() -> int:
-                table = np.append(class_of, pad)[np.array(windows, np.int32)]
-                network.step([table[:, i] for i in range(2 * WINDOW + 1) if i != WINDOW], table[:, WINDOW], rate)
-                return len(windows)
+            classed = _Classes(known)
+            held, size = [], 0
+
+            def learn(least: int) -> None:
+                """Steps over what is held; fewer than `least` windows are kept for later."""
+                nonlocal held, size, seen
+                table, at = np.concatenate(held), 0
+                while size - at >= least:
+                    some = table[at : at + BATCH]
+                    network.step([some[:, i] for i in range(2 * WINDOW + 1) if i != WINDOW], some[:, WINDOW], rate)
+                    seen += len(some)
+                    at += len(some)
+                held, size = [table[at:].copy()], size - at
 
             for batch in batches:
                 for text in batch.column(0):
                     tokens = (text.as_py() or "").lower().split()
                     n = len(tokens)
-                    for at in range((n + number) % stride if n > stride else 0, n, stride):
-                        windows.append([get(tokens[i], other) if 0 <= i < n else other + 1 for i in range(at - WINDOW, at + WINDOW + 1)])
-                    if len(windows) >= 512:
-                        seen += learn()
-                        windows.clear()
-            if windows:
-                seen += learn()
+                    if not n:
+                        continue
+                    padded = np.pad(np.fromiter(map(classed.__getitem__, tokens), np.int32, n), WINDOW, constant_values=pad)
+                    view = np.lib.stride_tricks.sliding_window_view(padded, 2 * WINDOW + 1)
+                    view = view[(n + number) % stride if n > stride else 0 :: stride]
+                    for start in range(0, len(view), BLOCK):
+                        held.append(view[start : start + BLOCK])
+                        size += len(held[-1])
+                        if size >= BATCH:
+                            learn(BATCH)
+            if size:
+                learn(1)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([own.tolist()], pa.list_(pa.float32())), pa.array([seen], pa.int64())], ["w", "n"])
 
@@ -174,31 +221,48 @@ def train(docs: DataFrame, words: Vocabulary, hidden: int, rounds: int, stride:
 
 
 def score(
-    docs: DataFrame, size: int = 8192, classes: int = 64, hidden: int = 32, rounds: int = 2, stride: int = 16, rate: float = 0.5,
+    docs: DataFrame, size: int = 8192, classes: int = 64, hidden: int = 32, rounds: int = 2, stride: int = 1, rate: float = 0.5,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Rows (id, n_tokens, log_prob, mean_log_prob), one for each row of `docs`."""
-    words = vocabulary(word_counts(docs, text_col), size, classes)
+    counts = materialize(word_counts(docs, text_col), "word-counts")
+    words = vocabulary(counts, size, classes)
     weights = train(docs, words, hidden, rounds, stride, rate, text_col)
     shared = docs.sparkSession.sparkContext.broadcast((astuple(words), weights))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, network = Vocabulary(*shared.value[0]), Network(classes, hidden, shared.value[1])
-        get, other = known.words.get, len(known.words)
+        get, classed = known.words.get, _Classes(known)
         for batch in batches:
-            sizes, sums = [], []
+            sizes, sums, ends, rest_words, rest_counts = [], [], [0], [], []
             for text in batch.column(1):
-                tokens = np.array([get(w, other) for w in (text.as_py() or "").lower().split()], np.int32)
-                padded = np.pad(known.class_of[tokens], WINDOW, constant_values=classes)
-                total = float(known.log_inside[tokens].sum())
-                for start in range(0, tokens.size, BLOCK):
-                    at = np.arange(start, min(start + BLOCK, tokens.size)) + WINDOW
+                tokens = (text.as_py() or "").lower().split()
+                n = len(tokens)
+                places = np.fromiter((get(w, -1) for w in tokens), np.int32, n)
+                padded = np.pad(np.fromiter(map(classed.__getitem__, tokens), np.int32, n), WINDOW, constant_values=classes)
+                rare = np.flatnonzero(places < 0)
+                total = float(known.log_inside[places[places >= 0]].sum()) - float(known.log_sums[padded[rare + WINDOW]].sum())
+                for start in range(0, n, BLOCK):
+                    at = np.arange(start, min(start + BLOCK, n)) + WINDOW
                     total += float(network.log_prob(_contexts(padded, at), padded[at]).sum(dtype=np.float64))
-                sizes.append(tokens.size)
+                rest = Counter([tokens[i] for i in rare.tolist()])
+                rest_words += rest
+                rest_counts += rest.values()
+                ends.append(len(rest_words))
+                sizes.append(n)
                 sums.append(total)
-            means = [s / n if n else None for s, n in zip(sums, sizes, strict=True)]
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "log_prob", "mean_log_prob"])
-
-    return source.mapInArrow(run, "id long, n_tokens long, log_prob double, mean_log_prob double")
+            rest = pa.StructArray.from_arrays([pa.array(rest_words, pa.string()), pa.array(rest_counts, pa.int64())], ["word", "k"])
+            rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest)
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), rest]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "part", "rest"])
+
+    made = source.mapInArrow(run, "id long, n_tokens long, part double, rest array<struct<word: string, k: long>>")
+    # Written before it is read twice, so that the row numbers hold.
+    made = materialize(made.withColumn("row", F.monotonically_increasing_id()), "lm-parts")
+    rare = made.select("row", F.explode("rest").alias("x")).select("row", F.col("x.word").alias("word"), F.col("x.k").alias("k"))
+    logs = rare.join(counts, "word").groupBy("row").agg(F.sum(F.col("k") * F.log("n")).alias("rare"))
+    log_prob = F.col("part") + F.coalesce("rare", F.lit(0.0))
+    joined = made.select("row", "id", "n_tokens", "part").join(logs, "row", "left")
+    mean = F.when(F.col("n_tokens") > 0, log_prob / F.col("n_tokens"))
+    return joined.select("id", "n_tokens", log_prob.alias("log_prob"), mean.alias("mean_log_prob"))

@@ -1,5 +1,6 @@
 """Whole operators on small tables: against brute force, and on awkward rows."""
 
+import math
 import random
 
 import pytest
@@ -171,6 +172,22 @@ def test_training_raises_the_likelihood(spark):
     assert 0 > sums[1] > 0.9 * sums[0]
 
 
+def test_rare_words_score_by_their_counts(spark):
+    # One frequent word comes to the driver; "rare" and "scarce" stand in the one class of all others.
+    texts = ["the rare the", "the scarce the", "the rare the rare the rare the"] + ["the the the the"] * 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["log_prob"] for r in lm_score.score(docs, size=1, classes=2, hidden=4).collect()}
+    assert abs(got[0] - got[1] - math.log(4 / 1)) < 1e-4
+
+
+def test_training_reaches_all_words_of_short_texts(spark):
+    rng = random.Random(9)
+    rows = [(i, "start " + " ".join(f"{a} {a}2" for a in rng.choices("red blue green pink grey".split(), k=6))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sums = [lm_score.score(docs, classes=12, rounds=n).agg(F.sum("log_prob")).first()[0] for n in (0, 2)]
+    assert 0 > sums[1] > 0.9 * sums[0]
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(10)
     texts = [sentence(rng, 80) for _ in range(40)]
