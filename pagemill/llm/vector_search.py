@@ -41,47 +41,52 @@ class Tree:
         half = order.size // 2
         return int(vantage), float(distance[order[half]]), self._build(rest[order[:half]]), self._build(rest[order[half:]])
 
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """For each query, distances to and rows of at least its k nearest candidates (inf and -1 where
-        there are fewer); `own` is the row a query must not find, or -1. All queries that a
-        node cannot exclude go through it together."""
+    def search(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """Places of queries and rows: the k nearest rows of each query, and all others whose distance
+        is equal to the k-th within rounding. All queries that a node cannot exclude go through
+        it together."""
+        # Rounding of a squared distance, and so of a distance near zero.
+        margin = max(1e-12, 8 * self.vectors.shape[1] * np.finfo(float).eps)
+        slack = 3 * margin**0.5
         best = np.full((len(queries), k), np.inf)
-        found = np.full((len(queries), k), -1)
+        every = np.arange(len(queries))
 
         def offer(active: np.ndarray, rows: np.ndarray, distance: np.ndarray) -> None:
-            distance = np.where(rows[None, :] == own[active][:, None], np.inf, distance)
-            all_distance = np.concatenate([best[active], distance], axis=1)
-            all_rows = np.concatenate([found[active], np.broadcast_to(rows, distance.shape)], axis=1)
-            # Ties go to the smaller row: rows are in the order of their ids.
-            order = np.lexsort((all_rows, all_distance), axis=1)[:, :k]
-            best[active] = np.take_along_axis(all_distance, order, axis=1)
-            found[active] = np.take_along_axis(all_rows, order, axis=1)
+            both = np.concatenate([best[active], distance], axis=1)
+            best[active] = np.sort(both, axis=1)[:, :k]
 
         def distances(active: np.ndarray, rows: np.ndarray) -> np.ndarray:
             return np.sqrt(np.maximum(0, 2 - 2 * (queries[active] @ self.vectors[rows].T)))
 
-        def visit(node, active: np.ndarray) -> None:
+        def visit(node, active: np.ndarray, take, bound) -> None:
             if not active.size:
                 return
             if isinstance(node, np.ndarray):
                 if node.size:
-                    offer(active, node, distances(active, node))
+                    take(active, node, distances(active, node))
                 return
             vantage, radius, inside, outside = node
             to = distances(active, np.array([vantage]))
-            offer(active, np.array([vantage]), to)
+            take(active, np.array([vantage]), to)
             to = to[:, 0]
             near_in = to < radius
-            # 1e-7 keeps rounding from excluding a tie.
-            reach = lambda rows: best[rows, -1] * factor + 1e-7
-            visit(inside, active[near_in])
-            visit(outside, active[~near_in])
+            reach = lambda rows: bound(rows) * factor + slack
+            visit(inside, active[near_in], take, bound)
+            visit(outside, active[~near_in], take, bound)
             late_in, late_out = active[~near_in], active[near_in]
-            visit(inside, late_in[to[~near_in] - radius <= reach(late_in)])
-            visit(outside, late_out[radius - to[near_in] <= reach(late_out)])
+            visit(inside, late_in[to[~near_in] - radius <= reach(late_in)], take, bound)
+            visit(outside, late_out[radius - to[near_in] <= reach(late_out)], take, bound)
 
-        visit(self.root, np.arange(len(queries)))
-        return best, found
+        visit(self.root, every, offer, lambda rows: best[rows, -1])
+        limit = np.sqrt(best[:, -1] ** 2 + 2 * margin)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def collect(active: np.ndarray, rows: np.ndarray, distance: np.ndarray) -> None:
+            query, place = np.nonzero(distance <= limit[active][:, None])
+            found.append((active[query], rows[place]))
+
+        visit(self.root, every, collect, lambda rows: limit[rows])
+        return np.concatenate([q for q, _ in found]), np.concatenate([r for _, r in found])
 
 
 def exact_cosine(one: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -103,14 +108,15 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def nearest(
-    vectors: DataFrame, is_query, k: int = 5, factor: float = 1.0, spare: int = 8, id_col: str = "vec_id", vector_col: str = "embedding",
+    vectors: DataFrame, is_query, k: int = 5, factor: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """Rows (query_id, rank, id, score): the k candidates of largest cosine for each id for which the
     column `is_query` (over `id`) holds, ties to the smaller id.
 
     Candidates are dealt to shards of about SHARD_ROWS rows and queries to blocks; a
-    task holds one shard and one block, whatever the size of the tables. Each keeps k +
-    `spare` by distance, and the exact cosine decides among them.
+    task holds one shard and one block, whatever the size of the tables. Equal vectors of a shard
+    are one, with their k + 1 smallest ids; ties within rounding all stay until the exact
+    cosine decides among them.
     """
     rows = materialize(usable(vectors, id_col, vector_col).withColumn("dim", F.size("v")), "vectors")
     queries = rows.where(is_query)
@@ -130,11 +136,16 @@ def nearest(
         ids, vectors = candidates["id"].to_numpy(), np.stack(candidates["v"].to_numpy())
         asked_ids, asked_vectors = asked["id"].to_numpy(), np.stack(asked["v"].to_numpy())
         scale = lambda v: (s := v / np.abs(v).max(axis=1, keepdims=True)) / np.linalg.norm(s, axis=1, keepdims=True)
-        at = np.searchsorted(ids, asked_ids)
-        own = np.where((at < ids.size) & (ids[np.minimum(at, ids.size - 1)] == asked_ids), at, -1)
-        _, found = Tree(scale(vectors)).search(scale(asked_vectors), own, k + spare, factor)
-        query, place = np.nonzero(found >= 0)
-        near = found[query, place]
+        single, group = np.unique(vectors, axis=0, return_inverse=True)
+        order = np.argsort(group, kind="stable")
+        starts = np.searchsorted(group[order], np.arange(len(single)))
+        counts = np.minimum(np.diff(np.append(starts, order.size)), k + 1)
+        # The group of a query may hold nothing but itself, hence one group more.
+        query, near = Tree(scale(single)).search(scale(asked_vectors), k + 1, factor)
+        times = counts[near]
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        query, near = np.repeat(query, times), order[np.repeat(starts[near], times) + nth]
+        query, near = (x[ids[near] != asked_ids[query]] for x in (query, near))
         score = exact_cosine(asked_vectors[query], vectors[near])
         out = pd.DataFrame({"query_id": asked_ids[query], "id": ids[near], "score": score})
         out = out.sort_values(["query_id", "score", "id"], ascending=[True, False, True])

@@ -143,6 +143,23 @@ def test_trees_find_the_nearest(spark, monkeypatch):
     assert hits >= 0.9 * len(found)
 
 
+def test_ties_go_to_the_smallest_ids(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = []
+    for i in range(1500):
+        rows.append((i, [rng.gauss(0, 1) for _ in range(24)]))
+    one = [rng.gauss(0, 1) for _ in range(24)]
+    copies = sorted(rng.sample(range(1500), 200))
+    for n, i in enumerate(copies):  # of one direction: equal vectors, and others by powers of two
+        rows[i] = (i, [x * (2.0 ** (n % 100) if n % 2 else 1.0) for x in one])
+    monkeypatch.setattr(vector_search, "SHARD_ROWS", 2000)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = vector_search.nearest(table, F.col("id").isin(copies)).collect()
+    got = {(r["query_id"], r["rank"]): r["id"] for r in found}
+    for q in copies:
+        assert [got[q, n] for n in range(1, 6)] == [c for c in copies[:6] if c != q][:5]
+
+
 def test_url_templates_learn_from_labels(spark):
     rows = [(i, f"http://H.example/{'spam' if i % 2 else 'news'}/{i}", i) for i in range(60)]
     rows += [(100, None, 0), (101, "no-host", 0), (102, "http://h.example", 0), (103, "http://h.example/spam/9/deep/er/and/deeper?q#f", 0), (104, "http://h.example/", 0)]
