@@ -154,5 +154,109 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+OP11 = r"""
+WITH RECURSIVE crc_table AS (
+    SELECT n, n::BIGINT AS value, 0 AS step FROM range(256) t(n)
+    UNION ALL
+    SELECT n, CASE WHEN value % 2 = 1 THEN xor(value // 2, 3988292384) ELSE value // 2 END, step + 1 FROM crc_table WHERE step < 8
+), crc AS (
+    SELECT list(value ORDER BY n) AS entries FROM crc_table WHERE step = 8
+), named AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations
+), drawn AS (
+    SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda c: ord(c)::BIGINT)),
+           lambda value, byte: xor(value // 256, entries[xor(value, byte) % 256 + 1])), 4294967295::BIGINT) % 20 AS kind
+    FROM named, crc
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+           CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM (SELECT *, unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM drawn)
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS pos,
+           left(role, 1) AS initial, right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) AS ending FROM damaged
+), marked AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS seen,
+           lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial AS two FROM placed
+), judged AS (
+    SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+    FROM marked
+), best AS (
+    SELECT DISTINCT conv_id, 0::BIGINT AS pos, {'cost': 0::BIGINT, 'audit': ''} AS b0, {'cost': 1000000000::BIGINT, 'audit': ''} AS b1,
+           {'cost': 1000000000::BIGINT, 'audit': ''} AS b2, {'cost': 1000000000::BIGINT, 'audit': ''} AS b3 FROM judged
+    UNION ALL
+    SELECT conv_id, pos,
+           {'cost': e0.cost + 4, 'audit': e0.audit || 'D'},
+           least({'cost': e1.cost + 4, 'audit': e1.audit || 'D'}, {'cost': e0.cost + s, 'audit': e0.audit || 'K'}),
+           least({'cost': e2.cost + 4, 'audit': e2.audit || 'D'},
+                 {'cost': e0.cost + u, 'audit': e0.audit || 'K'}, {'cost': e1.cost + u, 'audit': e1.audit || 'K'}, {'cost': e3.cost + u, 'audit': e3.audit || 'K'},
+                 {'cost': e0.cost + r, 'audit': e0.audit || 'R'}, {'cost': e1.cost + r, 'audit': e1.audit || 'R'}, {'cost': e3.cost + r, 'audit': e3.audit || 'R'}),
+           least({'cost': e3.cost + 4, 'audit': e3.audit || 'D'}, {'cost': e2.cost + a, 'audit': e2.audit || 'K'}, {'cost': e2.cost + r, 'audit': e2.audit || 'R'})
+    FROM (
+        SELECT j.conv_id, j.pos, b0 AS e0, b1 AS e1,
+               least(b2, {'cost': b0.cost + 3, 'audit': b0.audit || 'I'}, {'cost': b1.cost + 3, 'audit': b1.audit || 'I'}, {'cost': b3.cost + 3, 'audit': b3.audit || 'I'}) AS e2,
+               least(b3, {'cost': b2.cost + 3, 'audit': b2.audit || 'I'}, {'cost': b0.cost + 6, 'audit': b0.audit || 'II'}, {'cost': b1.cost + 6, 'audit': b1.audit || 'II'}) AS e3,
+               must + late + CASE WHEN initial = 's' THEN 0 ELSE 1000000000 END AS s, must + late + CASE WHEN initial = 'u' THEN 0 ELSE 1000000000 END AS u,
+               must + late + CASE WHEN initial = 'a' THEN 0 ELSE 1000000000 END AS a, must + late + 3 AS r
+        FROM best b JOIN (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000000 ELSE 0 END AS must,
+                          CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS late FROM judged) j
+          ON j.conv_id IS NOT DISTINCT FROM b.conv_id AND j.pos = b.pos + 1
+    )
+), audits AS (
+    SELECT conv_id, least(b0, b3, {'cost': b2.cost + 3, 'audit': b2.audit || 'I'}, {'cost': b1.cost + 6, 'audit': b1.audit || 'II'}) AS found
+    FROM best QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) = 1
+), steps AS (
+    SELECT conv_id, found.audit AS audit, unnest(range(1, len(found.audit) + 1)) AS i FROM audits
+), lines AS (
+    SELECT conv_id, i, audit[i] AS edit, len(replace(audit[1:i], 'I', '')) AS pos, len(replace(audit[1:i], 'D', '')) - len(replace(audit, 'D', '')) % 2 AS place FROM steps
+), texts AS (
+    SELECT l.conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN j.role WHEN place % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+           CASE WHEN edit = 'I' THEN '' ELSE j.text END, chr(10) ORDER BY i)) AS sha
+    FROM lines l LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM l.conv_id AND j.pos = l.pos WHERE edit <> 'D' GROUP BY l.conv_id
+), sums AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+           count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM judged GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(found.cost, 0) AS cost, coalesce(found.audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+OP12 = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS n_row, doc_id,
+           regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+    FROM documents WHERE text IS NOT NULL
+), totals AS (
+    SELECT count(*)::BIGINT AS n_docs, sum(len(words))::BIGINT AS n_terms FROM docs WHERE len(words) > 0
+), items AS (
+    SELECT row_number() OVER () AS item, item_id,
+           regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+    FROM benchmark WHERE text IS NOT NULL
+), asked AS (
+    SELECT item, item_id, term, count(*)::BIGINT AS times FROM (SELECT item, item_id, unnest(words) AS term FROM items) GROUP BY ALL
+), counted AS (
+    SELECT n_row, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT n_row, doc_id, len(words)::BIGINT AS n, unnest(words) AS term FROM docs)
+    WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counted, totals GROUP BY term, n_docs
+), scores AS (
+    SELECT item, item_id, n_row, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+    FROM asked JOIN counted USING (term) JOIN weights USING (term), totals GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST, n_row)::INT AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
 def registry() -> dict[str, str]:
-    return {"op2_quality": OP2, "op7_vector_search": OP7, "op8_mixing": OP8, "op9_url_filter": _op9()}
+    return {
+        "op2_quality": OP2, "op7_vector_search": OP7, "op8_mixing": OP8, "op9_url_filter": _op9(),
+        "op11_conversation_repair": OP11, "op12_lexical_search": OP12,
+    }

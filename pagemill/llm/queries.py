@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagemill.llm import line_dedup, lm_score, mixing, quality, sentencepiece_codec, simhash, substring, toxicity, url_filter, vector_search
+from pagemill.llm import conversation_repair, lexical_search, license_scan, line_dedup, lm_score, mixing, quality, sentencepiece_codec, simhash, substring, toxicity, url_filter, vector_search
 from pagemill.llm import oracles as sql
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -77,11 +77,27 @@ def op10_sentencepiece(spark, sf_dir):
     return sentencepiece_codec.round_trip(_table(spark, sf_dir, "documents"), MODEL).withColumnRenamed("id", "doc_id")
 
 
+def op11_conversation_repair(spark, sf_dir):
+    damaged = conversation_repair.damage(_table(spark, sf_dir, "conversations"))
+    return conversation_repair.digest(conversation_repair.repair(damaged))
+
+
+def op12_lexical_search(spark, sf_dir):
+    found = lexical_search.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+def op13_license_scan(spark, sf_dir):
+    found = license_scan.scan(_table(spark, sf_dir, "documents"))
+    joined = [F.array_join(name, ",").alias(name) for name in ("base_labels", "labels")]
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", *joined, "score")
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-ALL = [op1_lm_score, op2_quality, op3_simhash, op4_line_dedup, op5_substring, op6_toxicity, op7_vector_search, op8_mixing, op9_url_filter, op10_sentencepiece, pipeline]
+ALL = [op1_lm_score, op2_quality, op3_simhash, op4_line_dedup, op5_substring, op6_toxicity, op7_vector_search, op8_mixing, op9_url_filter, op10_sentencepiece, op11_conversation_repair, op12_lexical_search, op13_license_scan, pipeline]
 
 
 def registry() -> dict:
