@@ -38,6 +38,7 @@ _IMPLIED_END = frozenset("p li td tr th dt dd option".split())
 _BOUNDARY = frozenset("ul ol dl table div article section body select".split())
 
 _step_re = re.compile(rf"(//?)(text\(\)|@[\w:-]+|[A-Za-z][\w-]*|\*|\.\.?)((?:{_PREDICATE})*)")
+_path_re = re.compile(r"""(?:[^|'"]|'[^']*'|"[^"]*")+""")
 _predicate_re = re.compile(
     r"\[\s*(?:(?P<n>\d+)|(?P<last>last\(\))|(?P<contains>contains\(\s*)?@(?P<k>[\w:-]+)"
     r"(?:\s*(?P<op>~?=|,)\s*(?:'(?P<v>[^']*)'|\"(?P<w>[^\"]*)\"))?\s*\)?)\s*\]"
@@ -121,6 +122,26 @@ def _string(node, part):
     return node.attrib[part[1:]] if part.startswith("@") else getattr(node, part)
 
 
+_cut: dict[str, list] = {}  # paths and steps of the expressions seen, which catalogs repeat
+
+
+def _cached(kind: str, text: str, cut):
+    key = kind + text
+    if key not in _cut:
+        if len(_cut) >= 10_000:
+            _cut.clear()
+        _cut[key] = cut(text)
+    return _cut[key]
+
+
+def _steps(path: str) -> list[tuple[str, str, str]]:
+    return _cached("s", path, _step_re.findall)
+
+
+def _paths(xpath: str) -> list[str]:
+    return _cached("p", xpath, _path_re.findall)
+
+
 class Document:
     """One parsed page; `select` returns elements or strings in document order."""
 
@@ -133,6 +154,14 @@ class Document:
             self._rank = {node: i for i, node in enumerate(self.root.iter())}
         return sorted(set(nodes), key=self._rank.__getitem__)
 
+    def _below(self, nodes):
+        """The nodes and all below them; a subtree within another is visited once."""
+        seen = set()
+        for node in self._ordered(nodes):
+            if node not in seen:
+                seen.update(node.iter())
+        return self._ordered(seen)
+
     def _in_order(self, hits):
         """Elements and (element, part) strings by their place in the page, each once."""
         if self._place is None:
@@ -155,11 +184,9 @@ class Document:
 
     def _one_path(self, path: str):
         nodes = [self.root]
-        for axis, test, predicates in _step_re.findall(path):
+        for axis, test, predicates in _steps(path):
             if axis == "//":
-                nodes = list(self.root.iter()) if nodes == [self.root] else self._ordered(
-                    x for node in nodes for x in node.iter()
-                )
+                nodes = list(self.root.iter()) if nodes == [self.root] else self._below(nodes)
             if test == "text()":
                 return [part for node in nodes for part in _text_parts(node)]
             if test.startswith("@"):
@@ -175,7 +202,7 @@ class Document:
         return nodes
 
     def select(self, xpath: str):
-        paths = re.findall(r"""(?:[^|'"]|'[^']*'|"[^"]*")+""", xpath)
+        paths = _paths(xpath)
         hits = [hit for path in paths for hit in self._one_path(path)]
         if len(hits) > 1 and (len(paths) > 1 or isinstance(hits[0], tuple)):
             hits = self._in_order(hits)
@@ -198,7 +225,7 @@ FACTS_TYPE = T.StructType(
         T.StructField("failure", T.StringType()),
     ]
 )
-_FACTS_ARROW = pa.struct(
+FACTS_ARROW = pa.struct(
     [
         ("is_content", pa.bool_()),
         ("next_xpath", pa.string()),
@@ -213,45 +240,56 @@ _FACTS_ARROW = pa.struct(
 )
 
 
-def _facts(html, conditions, next_xpaths, fields):
-    doc = Document(html or "")
-    found = {"is_content": any(doc.select(c) for c in conditions or ())}
-    for xpath in next_xpaths or ():
-        hits = doc.select(xpath)
-        if hits:
-            found["next_xpath"] = xpath
-            found["next_href"] = hits[0] if isinstance(hits[0], str) else hits[0].get("href")
-            break
-    if re.search("<pre", html or "", re.I):
-        found["error_body"] = next(iter(doc.strings("/html/body/pre")), None)
-    if found["is_content"]:
-        pairs = [(f["name"], doc.strings(f["xpath"])) for f in fields or ()]
-        found["values"] = [{"name": n, "values": v} for n, v in pairs if v]
-    return found
-
-
-def _once(returns):
+class Page:
+    """One parsed page, asked by any number of sites."""
+
+    def __init__(self, html: str | None):
+        self.doc = Document(html or "")
+        has_body = re.search("<pre", html or "", re.I)
+        self.error_body = next(iter(self.doc.strings("/html/body/pre")), None) if has_body else None
+
+    def facts(self, conditions, next_xpaths, fields) -> dict:
+        doc = self.doc
+        found = {"is_content": any(doc.select(c) for c in conditions or ()), "error_body": self.error_body}
+        for xpath in next_xpaths or ():
+            hits = doc.select(xpath)
+            if hits:
+                found["next_xpath"] = xpath
+                found["next_href"] = hits[0] if isinstance(hits[0], str) else hits[0].get("href")
+                break
+        if found["is_content"]:
+            pairs = [(f["name"], doc.strings(f["xpath"])) for f in fields or ()]
+            found["values"] = [{"name": n, "values": v} for n, v in pairs if v]
+        return found
+
+
+def failed(error: Exception) -> dict:
+    """Facts of a page that cannot be parsed."""
+    return {"is_content": False, "failure": f"{type(error).__name__}: {error}"}
+
+
+def once(returns):
     """An Arrow UDF that the optimizer must not evaluate again in a pushed-down filter."""
     return lambda f: F.arrow_udf(f, returns).asNondeterministic()
 
 
-@_once(FACTS_TYPE)
+@once(FACTS_TYPE)
 def page_facts(
     html: pa.Array, conditions: pa.Array, next_xpaths: pa.Array, fields: pa.Array
 ) -> pa.Array:
     """Parse each page once and answer everything a site asks of it."""
 
-    def one(*row):
+    def one(text, *questions):
         try:
-            return _facts(*row)
+            return Page(text).facts(*questions)
         except Exception as e:  # one bad page is reported and the others go on
-            return {"is_content": False, "failure": f"{type(e).__name__}: {e}"}
+            return failed(e)
 
     columns = (html.to_pylist(), conditions.to_pylist(), next_xpaths.to_pylist(), fields.to_pylist())
-    return pa.array([one(*row) for row in zip(*columns)], type=_FACTS_ARROW)
+    return pa.array([one(*row) for row in zip(*columns)], type=FACTS_ARROW)
 
 
-@_once(T.StringType())
+@once(T.StringType())
 def _pre_text(html: pa.Array) -> pa.Array:
     def one(text):
         try:
@@ -292,7 +330,7 @@ def region_links(regions: list[str], tags, attrs):
             if attr_ok(name)
         ]
 
-    @_once(LINKS_TYPE)
+    @once(LINKS_TYPE)
     def extract(html: pa.Array) -> pa.Array:
         def guarded(text):
             try:
