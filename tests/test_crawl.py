@@ -1,5 +1,7 @@
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 from tests import golden
 
@@ -160,3 +162,118 @@ def test_spellings_of_a_url_give_one_row_each(spark):
     assert sorted((r.url, r.depth, r.status) for r in reached.collect()) == [
         ("HTTP://G.example/b", 1, "ok"), (H + "/", 0, "ok"), ("http://o.example/p#1", 1, "ok"), ("http://o.example/p#2", 2, "ok"),
     ]
+
+
+def _chain_pages(spark, n, last=""):
+    """A chain of next links, each page with a link of its own."""
+    row = lambda i: (i, f"{H}/c{i}", f'<a href="/leaf{i}"></a><a class="next" href="/c{i + 1}"></a>' if i < n - 1 else last)
+    return spark.createDataFrame([row(i) for i in range(n)], schema.PAGES)
+
+
+def _rounds(monkeypatch):
+    """Counts the rounds of the crawls that follow."""
+    rounds, expand = [], crawl.expand
+    monkeypatch.setattr(crawl, "expand", lambda *a: rounds.append(1) or expand(*a))
+    return rounds
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    sites = catalog.usable_sites(golden.sites(spark))
+    seeds = spark.createDataFrame([("g", H + "/c0")], "site_key string, url string")
+    rounds = _rounds(monkeypatch)
+    got = {r.url: r.depth for r in crawl.crawl(_chain_pages(spark, 1000), sites, seeds).reached.collect()}
+    want = {f"{H}/c{i}": i for i in range(1000)} | {f"{H}/leaf{i}": i + 1 for i in range(999)}
+    assert got == want and len(rounds) <= 15
+
+
+def test_shortcuts_leave_depths_and_limits_as_they_are(spark, monkeypatch):
+    """A chain that ends in a cycle, with links back into it at lesser depths."""
+    sites = catalog.usable_sites(golden.sites(spark))
+    seeds = spark.createDataFrame([("g", H + "/c0"), ("g", H + "/side")], "site_key string, url string")
+    pages = _chain_pages(spark, 40, '<a class="next" href="/c20"></a>').unionByName(
+        spark.createDataFrame([(900, H + "/side", '<a href="/c30"></a>'), (901, H + "/leaf5", '<a href="/c33"></a>')], schema.PAGES)
+    )
+    plain = crawl.CrawlOptions(shortcut_after=None)
+    want = _status(crawl.crawl(pages, sites, seeds, plain))
+    for after in (0, 3):
+        assert _status(crawl.crawl(pages, sites, seeds, crawl.CrawlOptions(shortcut_after=after))) == want
+    limited = _status(crawl.crawl(pages, sites, seeds, crawl.CrawlOptions(shortcut_after=1, max_depth=9)))
+    assert limited == {url: row for url, row in want.items() if row[0] <= 9}
+
+
+def test_chains_are_ranked_from_their_heads(spark):
+    """Against a loop: random next links with merges and cycles, and one long chain."""
+    rng = random.Random(3)
+    for n, step in ((60, {i: rng.randrange(60) for i in range(60) if rng.random() < 0.9}), (300, {i: i + 1 for i in range(299)}), (50, {i: (i + 1) % 50 for i in range(50)})):
+        hops = spark.createDataFrame([("s", f"{i:03}", f"{step[i]:03}" if i in step else None) for i in range(n)], "site_key string, url string, next_url string")
+        got = {r.url: (r.head, r.rank) for r in pagination.rank_chains(hops).collect()}
+        before = {}
+        for i, j in sorted(step.items()):
+            if i != j:
+                before.setdefault(j, i)
+        for i in {x for pair in step.items() for x in pair if pair[0] != pair[1]}:
+            path = [i]
+            while path[-1] in before and before[path[-1]] not in path:
+                path.append(before[path[-1]])
+            if path[-1] in before:  # a cycle: cut before its smallest URL
+                path = path[: path.index(min(path)) + 1]
+            assert got[f"{i:03}"] == (f"{path[-1]:03}", len(path) - 1)
+
+
+def test_sites_of_several_modes_crawl_in_one_run(spark, monkeypatch):
+    """The same rows as one run for each mode, which must agree on links."""
+    sites = catalog.usable_sites(golden.sites(
+        spark, {}, {"key": "leaf"}, {"key": "short"}, {"key": "t", "link": "http://t.example/", "condition": ["//h1"]}, {"key": "off"},
+    ))
+    extra = spark.createDataFrame([(100, "http://t.example/", f'<a href="{H}/l1">x</a><h1>')], schema.PAGES)
+    pages = golden.pages(spark).unionByName(extra)
+    modes = spark.createDataFrame([("g", "full"), ("leaf", "leaf"), ("short", "short"), ("t", "leaf")], "site_key string, mode string")
+    options = {"full": crawl.FULL, "leaf": crawl.LEAF_STOP, "short": crawl.CrawlOptions(max_depth=1, scope="pattern")}
+    together = crawl.crawl_by_mode(pages, sites, modes, options)
+    for mode, o in options.items():
+        own = sites.join(modes.where(F.col("mode") == mode), "site_key", "left_semi")
+        alone = crawl.crawl(pages, own, options=o)
+        for one, other in ((together[mode].reached, alone.reached), (together[mode].content(), alone.content())):
+            assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+    with pytest.raises(ValueError):
+        crawl.crawl(pages, sites, options={"a": crawl.FULL, "b": crawl.CrawlOptions(shortcut_after=9)}, modes=modes)
+
+
+def test_foreign_content_pages_give_items(spark, monkeypatch):
+    """Fields of foreign pages are read at the end, each URL once."""
+    monkeypatch.setattr(crawl, "PROFILES_PER_PASS", 1)
+    sites = catalog.usable_sites(golden.sites(
+        spark, {"key": "t", "link": "http://t.example/"}, {"key": "u", "link": "http://t.example/u", "condition": ["//i"]},
+    ))
+    anchors = "".join(f'<a href="{H}/{p}">' for p in ("d1", "d3", "l1", "nowhere"))
+    extra = [(100, "http://t.example/", anchors), (101, "http://t.example/u", anchors)]
+    pages = golden.pages(spark).unionByName(spark.createDataFrame(extra, schema.PAGES))
+    pages = pages.unionByName(pages.where("page_id = 3"))
+    result = crawl.crawl(pages, sites, options=crawl.LEAF_STOP)
+    found = {(r.site_key, r.url.removeprefix(H), r.title[0]) for r in items.extract_items(result.content()).collect()}
+    assert found == {("t", "/d1", "One"), ("t", "/d3", "Dréi"), ("t", "/d2", "Two"), ("u", "/d1", "One")}
+    reached = [(r.site_key, r.url) for r in result.reached.collect()]
+    assert len(reached) == len(set(reached))
+
+
+def test_no_round_reads_html(spark, monkeypatch, tmp_path):
+    golden.pages(spark).write.parquet(str(tmp_path / "pages"))
+    plans, expand = [], crawl.expand
+
+    def record(frontier, edges, known):
+        plans.append(expand(frontier, edges, known)._jdf.queryExecution().executedPlan().toString())
+        return expand(frontier, edges, known)
+
+    foreign = crawl._Foreign.facts
+
+    def record_foreign(self, *a):
+        found = foreign(self, *a)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(crawl, "expand", record)
+    monkeypatch.setattr(crawl._Foreign, "facts", record_foreign)
+    sites = catalog.usable_sites(golden.sites(spark, {"link": "http://t.example/"}, {}))
+    seeds = spark.createDataFrame([("g", H + "/"), ("g", "http://o.example/")], "site_key string, url string")
+    crawl.crawl(spark.read.parquet(str(tmp_path / "pages")), sites, seeds, crawl.LEAF_STOP)
+    assert len(plans) > 3 and not any("html" in text or "Python" in text for text in plans)
