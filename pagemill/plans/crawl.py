@@ -43,8 +43,9 @@ class CrawlOptions:
     """`expand_content` False stops at content pages (leaf-stop). `scope` is
     "prefix" (the URL starts with the site's link), "rules" (that, and the site's
     filter_urls with deny), "pattern" (the link is searched in the URL as a regular
-    expression) or None (no restriction). `shortcut_after` is the round after which
-    shortcuts over next links are built; None builds none."""
+    expression) or None (no restriction). Every `shortcut_after` rounds shortcuts over next
+    links are considered: they are built once the frontier no longer grows while many next
+    pages wait to be reached. They change how many rounds a crawl takes, not its result."""
 
     expand_content: bool = True
     error_filter: bool = True
@@ -101,6 +102,8 @@ PER_SITE = {
     "expand_content": "boolean", "error_filter": "boolean", "crawl_scope": "string", "follow_next": "boolean",
     "canonical_identity": "boolean", "max_depth": "int",
 }
+# Shortcuts pay when so many times a round's URLs wait behind next links.
+WAITING = 4
 # Questions to every page in one pass over the pages.
 PROFILES_PER_PASS = 1000
 
@@ -226,11 +229,14 @@ def edges_of(facts: DataFrame, links: LinkOptions, clicks: DataFrame | None) ->
     return _edge_rows(_open(facts).select(F.col("page_key").alias("src"), *site, targets.alias("dst")), links.canonicalize)
 
 
-def shortcuts(facts: DataFrame) -> DataFrame | None:
-    """Edges over 2, 4, 8, ... next links that a site follows one by one, or None."""
-    site = ["site_key", "scope", "filter_urls", "deny", "crawl_scope"]
+def next_hops(facts: DataFrame) -> DataFrame:
+    """(site_key, url, next_url): the next links that sites follow."""
     hops = _open(facts).where(F.col("follow_next") & F.col("next_url").isNotNull())
-    hops = hops.where(in_crawl_scope(F.col("next_url"), F.col("crawl_scope"))).select("site_key", F.col("page_key").alias("url"), "next_url")
+    return hops.where(in_crawl_scope(F.col("next_url"), F.col("crawl_scope"))).select("site_key", F.col("page_key").alias("url"), "next_url")
+
+
+def shortcuts(facts: DataFrame, hops: DataFrame) -> DataFrame | None:
+    """Edges over 2, 4, 8, ... next links that a site follows one by one, or None."""
     ranks = pagination.rank_chains(hops)
     longest = ranks.agg(F.coalesce(F.max("rank"), F.lit(0))).first()[0]
     if longest < 2:
@@ -288,6 +294,16 @@ def expand(frontier: DataFrame, edges: DataFrame, known: DataFrame) -> DataFrame
     return c.join(k, at_most, "left_anti")
 
 
+def _counts() -> tuple[Column, Column]:
+    return F.count(F.lit(1)).alias("new"), F.count_if(~F.col("inside")).alias("outside")
+
+
+def _waiting(hops: DataFrame, visited: DataFrame) -> int:
+    """How many next pages have not been reached."""
+    targets = hops.select("site_key", F.col("next_url").alias("url")).distinct()
+    return targets.join(visited.select("site_key", "url"), ["site_key", "url"], "left_anti").count()
+
+
 class _Foreign:
     """What sites that may leave their scope would ask of any page, answered in the same
     scan as all else: their distinct questions about content and next pages. `pages` has
@@ -408,8 +424,9 @@ def crawl(
             F.lit(0).alias("depth"), F.coalesce(key.startswith(F.col("scope")), F.lit(False)).alias("inside"),
         ).distinct().withColumn("round", F.lit(0))
         found = Observation()
-        visited.append_clustered(start.observe(found, F.count_if(~F.col("inside")).alias("outside")))
-        number, outside, jumped = 0, found.get["outside"], False
+        visited.append_clustered(start.observe(found, *_counts()))
+        number, outside, jumped, before, new = 0, found.get["outside"], False, None, found.get["new"]
+        hops = next_hops(facts) if shortcut_after is not None and clicks is None and any(o.follow_next for o in used) else None
         while True:
             frontier = visited.read().where(F.col("round") == number).drop("round")
             if outside and foreign:
@@ -417,8 +434,9 @@ def crawl(
                 if not more.isEmpty():
                     parsed.append(more)
                     edges.append_clustered(edges_of(more, links, clicks))
-            if number == shortcut_after and clicks is None and any(o.follow_next for o in used):
-                jumps = shortcuts(facts)
+            due = hops is not None and not jumped and number % max(1, shortcut_after) == 0 and number >= shortcut_after
+            if due and (before is None or new <= before) and _waiting(hops, visited.read()) > WAITING * new:
+                jumps = shortcuts(facts, hops)
                 if jumps is not None:
                     # What was expanded without them is expanded again, once.
                     edges.append_clustered(jumps)
@@ -430,14 +448,11 @@ def crawl(
             frontier = frontier.select("site_key", src.alias("src"), "depth")
             fresh = expand(frontier, edges.read(), visited.read())
             found = Observation()
-            counted = fresh.observe(
-                found, F.count(F.lit(1)).alias("new"), F.count_if(~F.col("inside")).alias("outside")
-            )
             number += 1
-            visited.append(counted.withColumn("round", F.lit(number)))
-            if found.get["new"] == 0:
+            visited.append(fresh.observe(found, *_counts()).withColumn("round", F.lit(number)))
+            before, new, outside = new, found.get["new"], found.get["outside"]
+            if new == 0:
                 break
-            outside = found.get["outside"]
     finally:
         edges.drop()
         visited.drop()

