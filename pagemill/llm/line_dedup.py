@@ -7,8 +7,10 @@ normalised text is at least `similarity`; equal lines are one. Of each connected
 the occurrence of the smallest (id, position) stays.
 
 Defined results: null and empty texts have no lines; lines without a word are never
-compared or removed; rows without an id are left alone; rows that repeat an id count
-as one document. Other columns pass through.
+compared or removed; rows without an id are left alone; rows that repeat an id are
+documents of their own if their texts differ, told apart by the texts' md5 sums, and one
+document if they are equal. Ties between them go to the smaller sum. Very long texts and
+lines are read whole, in blocks. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ TABLE = bytes(
     b if b >= 128 or b == 10 else ord("0") if 48 <= b < 58 else b | 32 if 65 <= b < 91 else b if 97 <= b < 123 else 32
     for b in range(256)
 )
-BLOCK = 100_000
+BLOCK = 50_000
+BATCH_WORDS = 200_000
 
 
 def normal_lines(text: bytes | None) -> list[list[bytes]]:
@@ -38,54 +41,65 @@ def normal_lines(text: bytes | None) -> list[list[bytes]]:
 
 
 def simhashes(words: list[bytes], sizes: list[int]) -> np.ndarray:
-    """SimHash of each run of words; `sizes` are the runs' lengths, none zero."""
+    """SimHash of each run of words; `sizes` are the runs' lengths, none zero. Bit counts
+    exist for one block of words at a time."""
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    counts, at = np.empty((len(sizes), 64), np.int32), 0
+    lengths = np.asarray(sizes, np.int64)
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    made, at = np.empty(len(sizes), np.int64), 0
     while at < len(sizes):
         upto = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK, "right")))
         if sizes[at] > BLOCK:  # one line, in parts
-            counts[at] = 0
+            counts = np.zeros((1, 64), np.int64)
             for part in range(int(starts[at]), int(ends[at]), BLOCK):
                 some = hashes[part : min(part + BLOCK, int(ends[at]))]
-                counts[at] += np.unpackbits(some.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int32)
+                counts[0] += np.unpackbits(some.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
             upto = at + 1
         else:
             bits = np.unpackbits(hashes[starts[at] : ends[upto - 1]].view(np.uint8)).reshape(-1, 64)
-            counts[at:upto] = np.add.reduceat(bits, starts[at:upto] - starts[at], axis=0, dtype=np.int32)
+            counts = np.add.reduceat(bits, starts[at:upto] - starts[at], axis=0, dtype=np.int32)
+        made[at:upto] = np.packbits(2 * counts > lengths[at:upto, None], axis=1).view(np.int64).ravel()
         at = upto
-    return np.packbits(2 * counts > np.asarray(sizes)[:, None], axis=1).view(np.int64).ravel()
+    return made
+
+
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, text, key) of documents with an id and a text."""
+    text = F.col(text_col).cast("binary")
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    return rows.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.md5(text).alias("key"))
 
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, pos, h, sim) of lines with a word: h names the normalised line."""
-    source = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    source = source.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    """Rows (id, key, pos, h, sim) of lines with a word: h names the normalised line, and
+    key the text."""
+    source = _source(docs, id_col, text_col)
 
-    def rows(ids: list[int], positions: list[int], names: list[int], words: list[bytes], sizes: list[int]) -> pa.RecordBatch:
+    def rows(ids: list[int], keys: list[str], positions: list[int], names: list[int], words: list[bytes], sizes: list[int]) -> pa.RecordBatch:
         names_ = np.array(names, np.uint64).view(np.int64)
-        arrays = [pa.array(ids, pa.int64()), pa.array(positions, pa.int32()), pa.array(names_), pa.array(simhashes(words, sizes))]
-        return pa.RecordBatch.from_arrays(arrays, ["id", "pos", "h", "sim"])
+        arrays = [pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array(positions, pa.int32()), pa.array(names_), pa.array(simhashes(words, sizes))]
+        return pa.RecordBatch.from_arrays(arrays, ["id", "key", "pos", "h", "sim"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, positions, names, words, sizes = [], [], [], [], []
-            for number, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids, keys, positions, names, words, sizes = [], [], [], [], [], []
+            for number, text, key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 for pos, line in enumerate(normal_lines(text.as_py())):
                     if line:
                         ids.append(number)
+                        keys.append(key)
                         positions.append(pos)
                         names.append(xxhash.xxh3_64_intdigest(b" ".join(line)))
                         sizes.append(len(line))
                         words += line
-                        if len(words) > 2_000_000:
-                            yield rows(ids, positions, names, words, sizes)
-                            ids, positions, names, words, sizes = [], [], [], [], []
+                        if len(words) > BATCH_WORDS:
+                            yield rows(ids, keys, positions, names, words, sizes)
+                            ids, keys, positions, names, words, sizes = [], [], [], [], [], []
             if ids:
-                yield rows(ids, positions, names, words, sizes)
+                yield rows(ids, keys, positions, names, words, sizes)
 
-    return source.mapInArrow(run, "id long, pos int, h long, sim long")
+    return source.mapInArrow(run, "id long, key string, pos int, h long, sim long")
 
 
 def edit_distance(one: str, other: str) -> int:
@@ -157,10 +171,9 @@ def _links(rows: DataFrame, key: str, max_bits: int, similarity: float | None) -
 
 
 def _with_norm(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """`wanted` (id, pos, h, sim, cluster) with the normalised text of each line."""
-    lists = wanted.groupBy("id").agg(F.collect_list(F.struct("pos", "h", "sim", "cluster")).alias("wanted"))
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    joined = source.join(lists, "id").select("text", "wanted")
+    """`wanted` (id, key, pos, h, sim, cluster) with the normalised text of each line."""
+    lists = wanted.groupBy("id", "key").agg(F.collect_list(F.struct("pos", "h", "sim", "cluster")).alias("wanted"))
+    joined = _source(docs, id_col, text_col).join(lists, ["id", "key"]).select("text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,21 +191,21 @@ def _with_norm(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
 def removed_lines(
     docs: DataFrame, max_bits: int = 3, agree: int = 1, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """Rows (id, n_lines, removed): lines with a word, and the positions, from 0, of those that
-    repeat a line that stays; one row for each id with such a line.
+    """Rows (id, key, n_lines, removed): lines with a word, and the positions, from 0, of those
+    that repeat a line that stays; one row for each id and text (key is its md5 sum) with such a line.
 
     Copies meet in one row before anything is compared. Lines that share a SimHash
     block make clusters; texts are fetched for these only, and within a cluster the
     edit similarity decides. More `agree` means more, but far smaller, blocks.
     """
     lines = materialize(line_table(docs, id_col, text_col), "lines")
-    distinct = lines.groupBy("h").agg(F.min("sim").alias("sim"), F.min(F.struct("id", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
+    distinct = lines.groupBy("h").agg(F.min("sim").alias("sim"), F.min(F.struct("id", "key", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
     distinct = materialize(distinct, "distinct-lines")
     keyed = distinct.select("h", "sim", F.explode(block_keys(F.col("sim"), max_bits, agree)).alias("key"))
     clusters = components(_links(keyed, "key", max_bits, None))
     members = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
     members = members.select(F.col("node").alias("h"), F.col("root").alias("cluster"))
-    wanted = members.join(distinct, "h").select("first.id", "first.pos", "h", "sim", "cluster")
+    wanted = members.join(distinct, "h").select("first.id", "first.key", "first.pos", "h", "sim", "cluster")
     normal = materialize(_with_norm(docs, wanted, id_col, text_col), "candidate-lines")
     groups = components(_links(normal, "cluster", max_bits, similarity))
     in_group = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
@@ -200,17 +213,19 @@ def removed_lines(
     stays = grouped.groupBy("root").agg(F.min("first").alias("keep"))
     grouped = grouped.join(stays, "root").select("h", "keep")
     repeats = distinct.where("n > 1").join(grouped, "h", "left_anti").select("h", F.col("first").alias("keep"))
-    doubled = lines.join(repeats.unionByName(grouped), "h").where(F.struct("id", "pos") != F.col("keep"))
-    removed = doubled.groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("removed"))
-    counts = lines.groupBy("id").agg(F.countDistinct("pos").alias("n_lines"))
-    return counts.join(removed, "id", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    doubled = lines.join(repeats.unionByName(grouped), "h").where(F.struct("id", "key", "pos") != F.col("keep"))
+    removed = doubled.groupBy("id", "key").agg(F.sort_array(F.collect_set("pos")).alias("removed"))
+    counts = lines.groupBy("id", "key").agg(F.countDistinct("pos").alias("n_lines"))
+    return counts.join(removed, ["id", "key"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs` without the repeated lines of their texts; no row goes."""
     found = removed_lines(docs, id_col=id_col, text_col=text_col, **options).where(F.size("removed") > 0)
-    found = found.select(F.col("id").alias("_id"), F.col("removed").alias("_removed"))
-    joined = docs.join(found, F.col(id_col) == F.col("_id"), "left").drop("_id")
+    found = found.select("id", "key", "removed")
+    whole = docs.select(F.struct("*").alias("row"))
+    whole = whole.select("row", F.col("row")[id_col].cast("long").alias("id"), F.md5(F.col("row")[text_col].cast("binary")).alias("key"))
+    joined = whole.join(found, ["id", "key"], "left").select(*[F.col("row")[c].alias(c) for c in docs.columns], "removed")
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,8 +35,8 @@ def op3_simhash(spark, sf_dir):
 
 def op4_line_dedup(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
-    found = line_dedup.removed_lines(docs).withColumnRenamed("id", "doc_id")
-    rows = docs.select("doc_id").join(found, "doc_id", "left")
+    found = line_dedup.removed_lines(docs).select(F.col("id").alias("doc_id"), "key", "n_lines", "removed")
+    rows = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("key")).join(found, ["doc_id", "key"], "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return rows.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.size(removed).alias("n_removed"), removed.alias("removed"))
 

@@ -36,7 +36,7 @@ STEM_LENGTHS = range(4, 9)
 EDGES = ".,;:!?\"'`()[]{}<>*#%&|-_=+~/\\…«»“”‘’"
 ALPHABET_END = 0x250
 MAX_TERMS = 5000
-CACHED_TOKENS = 150_000
+CACHED_TOKENS = 50_000
 TRIPLE = re.compile(r"(.)\1\1").search
 SPACED_RUN = 4
 LONGEST_TERM = 24
@@ -116,9 +116,10 @@ def learn(
     character model counts all of `docs`. A term may be kept if at least `least_docs` toxic
     texts have it and they are `least_share` of those that do; see _covering for which are."""
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    chosen = chosen.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
-    texts = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(F.col(text_col).cast("string").alias("text"), "toxic")
+    chosen = chosen.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
+    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.join(F.broadcast(chosen), "id").select("text", "toxic")
     texts = materialize(texts.dropDuplicates(["text"]), "labelled")
     toxic = _term_counts(texts.where("toxic = 1"), None).where(F.col("n") >= least_docs)
     held = {r["term"]: r["n"] for r in toxic.orderBy(F.desc("n"), "term").limit(4 * MAX_TERMS).collect()}

@@ -215,3 +215,18 @@ def test_pipeline_stages(spark, tmp_path):
     assert len(corpus_pipeline.STAGES) == 5
     ids = {r["doc_id"] for r in out}
     assert len(ids & set(range(100, 110))) <= 1 and all(r["n_tokens"] >= 0 for r in out)
+
+
+def test_rows_that_repeat_an_id_keep_their_own_lines(spark):
+    """A line goes from the row whose line it is, whatever other rows have its id."""
+    shared = "a line that two documents share word for word"
+    docs = spark.createDataFrame(
+        [(1, shared, "x", 0), (2, shared + "\nsecond own line here", "x", 0), (2, "a unique first line of text\nsecond own line here", "y", 0)],
+        "doc_id long, text string, _id string, toxic int",
+    )
+    got = sorted(tuple(r)[:3] for r in line_dedup.drop_lines(docs).collect())
+    once = {text for _, text, _ in got}
+    assert (1, shared, "x") in got and len(got) == 3
+    assert any("a unique first line of text" in text for text in once) and sum("second own line here" in text for text in once) == 1
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    assert toxicity.drop_toxic(docs, toxicity.learn(docs, labels)).columns == docs.columns
