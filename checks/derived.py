@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls
+from pagemill.runtime import scratch_path
 from pagemill.sources.catalog import usable_sites
 from pagemill.sources.pages import read_pages
 
@@ -148,3 +149,43 @@ def corpus_site(source: DataFrame, next_page: bool) -> DataFrame:
         F.lit("d").alias("depart"),
     )
     return usable_sites(docs)
+
+
+def repeated(source: DataFrame) -> DataFrame:
+    """Pages with ids that say nothing: every fourth is null, every third row is there
+    twice, and every fifth has the id of another page."""
+    i = F.col("page_id")
+    odd = F.when(i % 4 == 0, None).when(i % 5 == 0, i + 1).otherwise(i)
+    return source.withColumn("page_id", odd).unionByName(source.where(i % 3 == 0).withColumn("page_id", odd.cast("long")))
+
+
+def linked(source: DataFrame) -> DataFrame:
+    """Whole pages, with anchors to pages i+1 and 2i+1 of any site added to their own links."""
+    ahead = source.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("one"))
+    twice = source.where("page_id % 2 = 1").select(F.expr("page_id div 2").alias("page_id"), F.col("url").alias("two"))
+    both = source.join(ahead, "page_id", "left").join(twice, "page_id", "left")
+    added = [F.coalesce(F.concat(F.lit('<a href="'), c, F.lit('">x</a>')), F.lit("")) for c in ("one", "two")]
+    return both.select("page_id", "url", F.concat("html", *added).alias("html"))
+
+
+def site_modes(source: DataFrame) -> DataFrame:
+    """(site_key, mode, url): the mode of each origin and its first page; every fifth has no mode."""
+    first = source.groupBy(origin(F.col("url")).alias("site_key")).agg(F.min(F.struct("page_id", "url")).alias("p"))
+    i = F.col("p.page_id")
+    mode = F.when(i % 5 == 4, None).when(i % 2 == 0, "full").otherwise("leaf")
+    return first.select("site_key", mode.alias("mode"), "p.url").where("mode IS NOT NULL")
+
+
+def split(source: DataFrame, name: str, files: int = 4) -> str:
+    """The pages as several files, for streams of several micro-batches."""
+    path = scratch_path(source.sparkSession, name)
+    source.select("page_id", "url", "html").repartition(files).write.parquet(path)
+    return path
+
+
+def bodies(source: DataFrame) -> DataFrame:
+    """Pages as bytes in four charsets, one of them unknown to the reader."""
+    i = F.col("page_id")
+    name = F.element_at(F.array(*[F.lit(x) for x in ("utf-8", "UTF-16LE", "utf-16be", "x-none")]), (i % 4 + 1).cast("int"))
+    coded = F.when(i % 4 == 1, F.encode("html", "UTF-16LE")).when(i % 4 == 2, F.encode("html", "UTF-16BE")).otherwise(F.encode("html", "UTF-8"))
+    return source.select("page_id", coded.alias("body"), F.when(i % 8 > 0, name).alias("charset"))

@@ -112,6 +112,33 @@ def scoped(deny: bool) -> str:
     return f"WITH {BOUND} SELECT site_key, page_id, url FROM bound WHERE {'NOT ' if deny else ''}{hit}"
 
 
+# All sites in one run: (site, URL as reached, depth). Links lead to higher ids, so it ends.
+SITES_RUN = f"""
+WITH RECURSIVE {LINKS}, {DOCS.strip()},
+run AS (SELECT link AS site, first_id, CASE WHEN first_id % 2 = 0 THEN 'full' ELSE 'leaf' END AS mode FROM sites WHERE first_id % 5 <> 4),
+stored AS (SELECT page_id, {canon("url")} AS key, len(regexp_extract_all(html, {A})) >= 5 AS listed FROM pages),
+targets AS (
+  SELECT s.key AS src, l.url AS dst FROM links l JOIN stored s USING (page_id)
+  UNION SELECT a.key, b.key FROM stored a JOIN stored b ON b.page_id = a.page_id + 1 OR b.page_id = 2 * a.page_id + 1),
+r(site, mode, first_id, url, d) AS (
+  SELECT site, mode, first_id, p.url, 0 FROM run JOIN pages p ON p.page_id = run.first_id
+  UNION
+  SELECT r.site, r.mode, r.first_id, t.dst, r.d + 1 FROM r JOIN stored s ON s.key = {canon("r.url")} JOIN targets t ON t.src = s.key
+  WHERE CASE WHEN r.mode = 'full' THEN starts_with(t.dst, r.site) ELSE r.d < 3 AND NOT (s.listed AND r.first_id % 5 <> 0) END),
+reached AS (SELECT site, first_id, url, min(d) AS depth FROM r GROUP BY ALL)
+SELECT site AS site_key, url, depth, CASE WHEN s.key IS NULL THEN 'missing' ELSE 'ok' END AS status,
+  coalesce(s.listed AND first_id % 5 <> 0, false) AS is_content
+FROM reached LEFT JOIN stored s ON s.key = {canon("url")}"""
+
+# Chains of ten; in every other block of thirty ids they close a cycle, cut before its smallest URL.
+RANKS = f"""
+WITH c AS (SELECT page_id, page_id // 30 AS block, (page_id % 30) // 3 AS k, {url_of("page_id")} AS url FROM pages WHERE page_id % 3 = 0),
+b AS (SELECT *, count(*) OVER w AS n, min(url) OVER w AS low, arg_min(k, url) OVER w AS first_k FROM c WINDOW w AS (PARTITION BY block)),
+m AS (SELECT *, n = 10 AND block % 2 = 0 AS closed FROM b WHERE n > 1)
+SELECT 'c' AS site_key, CASE WHEN closed THEN low ELSE {url_of("(30 * block)")} END AS head,
+  CASE WHEN closed THEN (k - first_k + 10) % 10 ELSE k END AS rank, url FROM m"""
+
+
 def registry() -> dict[str, str]:
     return {
         "site_catalog": f"WITH {DOCS} SELECT key, link FROM docs WHERE key IS DISTINCT FROM ''",
@@ -192,4 +219,17 @@ def registry() -> dict[str, str]:
         "stream_items": f"""WITH {BOUND} SELECT 'items' AS part, page_id, body AS detail FROM envelopes
             UNION ALL SELECT 'outbox', page_id, '{SERVER}/api/1.0' FROM envelopes
             UNION ALL SELECT 'quarantine', page_id, reason FROM items WHERE reason <> ''""",
+        "bind_large_catalog": f"""WITH {BOUND} SELECT site_key, url, CASE WHEN page_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS n,
+            len(nav) >= 5 AND first_id % 5 <> 0 AS is_content FROM bound""",
+        "crawl_repeated_pages": f"""{FULL} SELECT 'c' AS site_key, {url_of("i")} AS url, depth, {STATUS.format(error=ERROR)} FROM reached""",
+        "crawl_sites": SITES_RUN,
+        "chain_ranks": RANKS,
+        "next_page_base": f"""WITH {BOUND} SELECT site_key, page_id, 'https://base.example/' || substr(hrefs[6], 2) AS next_url
+            FROM bound WHERE first_id % 7 IN (0, 1) AND len(hrefs) >= 6""",
+        "decoded_bodies": "SELECT page_id, CASE WHEN page_id % 4 < 3 THEN md5(html) END AS digest FROM pages",
+        "item_sink_rerun": f'WITH {BOUND} SELECT mkey, "subKey", title, link, date FROM envelopes',
+        "stream_repeats": f"""WITH {SITE_URLS} SELECT site_key, url, count(*) AS visits, 1::BIGINT AS firsts, count(*) > 1 AS repeated
+            FROM site_urls GROUP BY 1, 2""",
+        "stream_items_once": f"""WITH {BOUND} SELECT site_key, page_id, body FROM envelopes
+            WHERE page_id IN (SELECT min(page_id) FROM pages GROUP BY {canon("url")})""",
     }

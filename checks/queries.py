@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import derived as D
 from pagemill.functions import dom, predicates, urls
 from pagemill.operators import items, links
-from pagemill.operators.binding import bind_sites
+from pagemill.operators.binding import bind_sites, parse_sites
 from pagemill.plans import crawl, pagination
 from pagemill.runtime import scratch_path
 from pagemill.sources import catalog, sinks
 from pagemill.sources import pages as fetch
-from pagemill.streaming import jobs
+from pagemill.streaming import jobs, visits
 
 LINK_RECORDS = links.LinkOptions()
 
@@ -264,10 +266,10 @@ def _stream(spark, sf_dir):
     return fetch.stream_pages(spark, sf_dir, glob="pages.parquet")
 
 
-def _drain(spark, stream: DataFrame, mode: str = "append") -> DataFrame:
+def _drain(spark, stream: DataFrame, mode: str = "append", **options) -> DataFrame:
     """Run to the end of the input with a fresh checkpoint, and read the output back."""
     path = scratch_path(spark, "stream")
-    query = jobs.write_batches(stream, path + "/out", path + "/checkpoint", mode)
+    query = jobs.write_batches(stream, path + "/out", path + "/checkpoint", mode, **options)
     query.awaitTermination()
     return spark.read.parquet(path + "/out").drop("batch_id")
 
@@ -298,13 +300,89 @@ def stream_items(spark, sf_dir):
     return part("items", "body").unionByName(part("outbox", "endpoint")).unionByName(part("quarantine", "reason"))
 
 
+def bind_large_catalog(spark, sf_dir):
+    """As with a catalog too large to broadcast, over rows whose ids say nothing."""
+    source = D.pages(spark, sf_dir)
+    found = parse_sites(D.repeated(source), D.sites(source), broadcast_limit=0)
+    return found.groupBy("site_key", "url").agg(F.count(F.lit(1)).alias("n"), F.bool_and("facts.is_content").alias("is_content"))
+
+
+def crawl_repeated_pages(spark, sf_dir):
+    source = D.pages(spark, sf_dir)
+    sites = D.corpus_site(source, next_page=True)
+    seeds = sites.select("site_key", F.lit(D.CORPUS + "0").alias("url"))
+    return crawl.crawl(D.repeated(D.corpus(source)), sites, seeds).reached
+
+
+def crawl_sites(spark, sf_dir):
+    """All sites in one run: some in full below their links, some to leaves anywhere, three deep."""
+    source = D.pages(spark, sf_dir)
+    modes = D.site_modes(source)
+    leaf = replace(crawl.LEAF_STOP, max_depth=3)
+    options = {"full": crawl.FULL, "leaf": leaf}
+    return crawl.crawl(D.linked(source), D.sites(source), modes.select("site_key", "url"), options, modes=modes).reached
+
+
+def chain_ranks(spark, sf_dir):
+    source = D.pages(spark, sf_dir)
+    facts = crawl.site_facts(D.corpus(source), D.corpus_site(source, next_page=True))
+    return pagination.rank_chains(pagination.next_pages(facts))
+
+
+def next_page_base(spark, sf_dir):
+    """The next link of a page counts from the page's base."""
+    source = D.pages(spark, sf_dir)
+    based = source.withColumn("html", F.concat(F.lit('<base href="https://base.example/x/">'), "html"))
+    return crawl.site_facts(based, D.sites(source)).where("next_url IS NOT NULL").select("site_key", "page_id", "next_url")
+
+
+def decoded_bodies(spark, sf_dir):
+    text = fetch.decode_body(F.col("body"), F.col("charset"))
+    return D.bodies(D.pages(spark, sf_dir)).select("page_id", F.md5(text.cast("binary")).alias("digest"))
+
+
+def item_sink_rerun(spark, sf_dir):
+    """A run that was killed before its commit and one that is run again add nothing."""
+    path = scratch_path(spark, "item-lines")
+    shaped = items.envelopes(items.valid_items(_items(spark, sf_dir)))
+    sinks.stage_only(shaped.select(F.col("body").alias("value")), path)
+    for _ in range(2):
+        sinks.append_item_lines(shaped, path, run_id="r1")
+    back = sinks.read_item_lines(spark, path)
+    return back.select("mkey", "subKey", *[F.col("data")[k].alias(k) for k in ("title", "link", "date")])
+
+
+def stream_repeats(spark, sf_dir):
+    """Flags within a stream of several micro-batches; state is forgotten after a day."""
+    source = D.pages(spark, sf_dir)
+    arriving = fetch.stream_pages(spark, D.split(source, "pages"), maxFilesPerTrigger=2)
+    rows = jobs.site_urls(arriving, D.sites(source), broadcast_limit=0)
+    flagged = _drain(spark, visits.flagged_visits(rows, ttl_ms=86_400_000), "update", empty_batches=False)
+    return flagged.groupBy("site_key", "url").agg(
+        F.max("visits").alias("visits"), F.count_if("first").alias("firsts"), F.bool_or("repeated").alias("repeated")
+    )
+
+
+def stream_items_once(spark, sf_dir):
+    """Every page arrives three times, over several micro-batches, and is emitted once."""
+    source = D.pages(spark, sf_dir)
+    # One page for each canonical URL, so that it does not matter which arrives first.
+    page = F.min_by(F.struct("page_id", "url", "html"), "page_id").alias("p")
+    single = source.groupBy(urls.canonicalize_url(F.col("url"))).agg(page).select("p.*")
+    path, thrice = scratch_path(spark, "stream-items"), single.unionByName(single).unionByName(single)
+    arriving = fetch.stream_pages(spark, D.split(thrice, "pages"), maxFilesPerTrigger=2)
+    jobs.write_items(arriving, D.sites(source), path, path + "/checkpoint", D.SERVER, once=True, broadcast_limit=0).awaitTermination()
+    return spark.read.parquet(f"{path}/items").select("site_key", "page_id", "body")
+
+
 ALL = [
     site_catalog, site_quarantine, site_lookup, seed_urls, page_scope_deny, page_scope_allow, error_pages,
     robots_filter, fetch_manifest, fetch_result, fetch_status, extract_links, link_attrs, link_filters,
     url_filters, allow_domain_list, deny_domain_list, link_regions, canonical_urls, unique_links, content_pages, next_page, item_fields,
     item_envelopes, item_quarantine, item_outbox, item_sink_roundtrip, crawl_log_roundtrip, crawl_full,
     crawl_items, crawl_leaf_stop, crawl_clicks, pagination_chain, listing_router, stream_links,
-    stream_first_seen, stream_visits, stream_items,
+    stream_first_seen, stream_visits, stream_items, bind_large_catalog, crawl_repeated_pages, crawl_sites, chain_ranks,
+    next_page_base, decoded_bodies, item_sink_rerun, stream_repeats, stream_items_once,
 ]
 
 

@@ -8,19 +8,19 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pagemill.functions import dom, predicates, urls
 from pagemill.operators import items
-from pagemill.operators.binding import bind_sites
+from pagemill.operators.binding import SiteIndex, bind_sites, index_sites, parse_sites
 from pagemill.operators.links import LinkOptions, explode_links, with_links
+from pagemill.runtime import BROADCAST_LIMIT_BYTES
 from pagemill.sources.sinks import outbox
 
 SALT_BUCKETS = 16
 
 
 def fine_pages(pages: DataFrame) -> DataFrame:
-    """Drop error pages; stateless."""
+    """Drop error pages; stateless. Climbing URLs go before anything is parsed."""
+    kept = pages.where(~F.coalesce(predicates.has_climbing_path(F.col("url")), F.lit(False)))
     body = dom.error_body(F.col("html"))
-    return pages.withColumn("_pre", body).where(
-        ~predicates.is_error_page(F.col("url"), F.col("_pre"))
-    ).drop("_pre")
+    return kept.withColumn("_pre", body).where(~predicates.is_error_body(F.col("_pre"))).drop("_pre")
 
 
 def stream_links(pages: DataFrame, options: LinkOptions = LinkOptions()) -> DataFrame:
@@ -28,13 +28,27 @@ def stream_links(pages: DataFrame, options: LinkOptions = LinkOptions()) -> Data
     return explode_links(with_links(fine_pages(pages), options), "page_id")
 
 
-def site_urls(pages: DataFrame, sites: DataFrame, options: LinkOptions = LinkOptions()) -> DataFrame:
-    """(site_key, page_id, url): in-scope link targets of arriving pages."""
-    bound = with_links(bind_sites(fine_pages(pages), sites), options)
-    rows = bound.select("site_key", "page_id", "scope", F.explode_outer("links.url").alias("url"))
+def site_urls(
+    pages: DataFrame, sites: DataFrame | SiteIndex, options: LinkOptions = LinkOptions(), broadcast_limit: int = BROADCAST_LIMIT_BYTES
+) -> DataFrame:
+    """(site_key, page_id, url): in-scope link targets of arriving pages. Links are taken
+    first, so that only they, not the html, meet a large catalog; both joins are
+    stream-static and hold no state."""
+    linked = with_links(fine_pages(pages), options).select("page_id", "url", F.col("links.url").alias("targets"))
+    bound = bind_sites(linked, sites, broadcast_limit)
+    rows = bound.select("site_key", "page_id", "scope", F.explode_outer("targets").alias("url"))
     return rows.where(F.col("url").startswith(F.col("scope"))).select("site_key", "page_id", "url")
 
 
+def unseen_pages(pages: DataFrame, event_time: str | None = None, delay: str = "1 day") -> DataFrame:
+    """Each page URL once, whatever its spelling: a gate to put before parsing. State holds
+    the URLs alone; with an event time column it is bounded by the watermark delay."""
+    keyed = pages.withColumn("_key", F.coalesce(urls.canonicalize_url(F.col("url")), F.lit("")))
+    if event_time is None:
+        return keyed.dropDuplicates(["_key"]).drop("_key")
+    return keyed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
+
+
 def first_seen(rows: DataFrame, event_time: str | None = None, delay: str = "1 day") -> DataFrame:
     """Each (site_key, url) once.
 
@@ -57,16 +71,33 @@ def visit_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("site_key", "url").agg(F.count(F.lit(1)).alias("visits"))
 
 
-def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", **trigger) -> StreamingQuery:
-    """Write each micro-batch to its own folder; a repeated batch replaces itself."""
+_EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def write_batches(
+    stream: DataFrame, path: str, checkpoint: str, mode: str = "append", empty_batches: bool = True, **trigger
+) -> StreamingQuery:
+    """Write each micro-batch to its own folder; a repeated batch replaces itself.
+
+    A stream whose state has a time to live would go on with empty batches for ever, also
+    when it is to end with the available input: it runs without `empty_batches`."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return (
+    writer = (
         stream.writeStream.outputMode(mode).foreachBatch(save)
-        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
     )
+    if empty_batches:
+        return writer.start()
+    conf = stream.sparkSession.conf
+    before = conf.get(_EMPTY_BATCHES)
+    conf.set(_EMPTY_BATCHES, "false")  # a query keeps the settings it was started with
+    try:
+        return writer.start()
+    finally:
+        conf.set(_EMPTY_BATCHES, before)
 
 
 def flag_visits(batches: DataFrame) -> DataFrame:
@@ -76,34 +107,36 @@ def flag_visits(batches: DataFrame) -> DataFrame:
 
 
 def write_items(
-    pages: DataFrame, sites: DataFrame, path: str, checkpoint: str, server: str, **trigger
+    pages: DataFrame, sites: DataFrame | SiteIndex, path: str, checkpoint: str, server: str, once: bool = False,
+    broadcast_limit: int = BROADCAST_LIMIT_BYTES, **trigger,
 ) -> StreamingQuery:
     """Items, outbox and quarantine of arriving pages, one folder per batch.
 
     A batch is parsed once, without its html from there on; writing under its batch
-    id makes a replay idempotent. Pages that fail to parse are quarantined too.
+    id makes a replay idempotent. Pages that fail to parse are quarantined too. With
+    `once`, a page URL that arrived before is neither parsed nor emitted again.
     """
-    bound = bind_sites(pages.where(~predicates.has_climbing_path(F.col("url"))), sites)
-    parsed = items.with_facts(bound).where(
-        ~predicates.is_error_page(F.col("url"), F.col("facts.error_body"))
-    ).select("site_key", "page_id", "url", "depart", "facts")
+    index = index_sites(sites, broadcast_limit)
+    arriving = pages.where(~F.coalesce(predicates.has_climbing_path(F.col("url")), F.lit(False)))
+    arriving = unseen_pages(arriving) if once else arriving
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        fine = ~predicates.is_error_body(F.col("facts.error_body"))
+        parsed = parse_sites(batch, index).where(fine).select("site_key", "page_id", "url", "depart", "facts").persist()
         try:
-            found = items.extract_items(batch)
+            found = items.extract_items(parsed)
             shaped = items.envelopes(items.valid_items(found))
             tables = {
                 "items": shaped,
                 "outbox": outbox(shaped, server),
-                "quarantine": items.item_quarantine(found).unionByName(items.parse_quarantine(batch)),
+                "quarantine": items.item_quarantine(found).unionByName(items.parse_quarantine(parsed)),
             }
             for name, table in tables.items():
                 table.write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
         finally:
-            batch.unpersist()
+            parsed.unpersist()
 
     return (
-        parsed.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+        arriving.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
     )

@@ -6,8 +6,10 @@ from pagemill import schema
 from pagemill.operators import items
 from pagemill.operators.binding import bind_sites
 from pagemill.operators.links import explode_links, extract_links, with_links
+from pagemill.sources import catalog
 from pagemill.sources.pages import stream_pages
-from pagemill.streaming import jobs
+from pagemill.streaming import jobs, visits
+from tests import golden
 
 SOURCE = "/root/testdata/sf0.001/pages.parquet"
 
@@ -89,3 +91,44 @@ def test_error_pages_are_left_out(spark, tmp_path):
     spark.createDataFrame(rows, schema.PAGES).write.parquet(str(tmp_path / "in"))
     out = drain(jobs.stream_links(stream(spark, str(tmp_path / "in"))), tmp_path)
     assert [r.url for r in out.collect()] == ["http://h/y"]
+
+
+def test_visits_are_flagged_within_the_stream(spark, split, tmp_path):
+    """A URL is first once, repeated ever after, and its visits add up over micro-batches."""
+    folder = str(tmp_path / "in")
+    pages = spark.read.parquet(split)
+    for _ in range(2):
+        pages.coalesce(1).write.mode("append").parquet(folder)
+    sites = D.sites(pages)
+    rows = jobs.site_urls(stream_pages(spark, folder, maxFilesPerTrigger=1), sites, broadcast_limit=0)
+    jobs.write_batches(
+        visits.flagged_visits(rows, ttl_ms=3_600_000), str(tmp_path / "out"), str(tmp_path / "ck"), "update", empty_batches=False
+    ).awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    once = jobs.site_urls(pages, sites).groupBy("site_key", "url").count()
+    assert same(out.where("batch_id = 0").select("site_key", "url", F.col("visits").alias("count")), once)
+    assert same(out.where("batch_id = 1").select("site_key", "url", (F.col("visits") / 2).cast("long").alias("count")), once)
+    assert out.where("first <> (batch_id = 0)").isEmpty() and out.where("repeated <> (visits > 1)").isEmpty()
+
+
+def test_a_page_that_arrives_again_is_not_parsed_again(spark, tmp_path):
+    page = '<div id="doc"><h2>s</h2><h1>T</h1><span class="dt">d</span><meta name="d" content="x"></div>'
+    spellings = ["http://g.example/p", "HTTP://G.example/p", "http://g.example/p#top"]
+    for i, url in enumerate(spellings):
+        spark.createDataFrame([(i, url, page)], schema.PAGES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    sites = catalog.usable_sites(golden.sites(spark))
+    for name, once in (("gated", True), ("open", False)):
+        arriving = stream_pages(spark, str(tmp_path / "in"), maxFilesPerTrigger=1)
+        jobs.write_items(arriving, sites, str(tmp_path / name), str(tmp_path / name / "ck"), D.SERVER, once=once).awaitTermination()
+        assert spark.read.parquet(str(tmp_path / name / "items")).count() == (1 if once else 3)
+
+
+def test_large_catalogs_serve_streams(spark, split, tmp_path):
+    pages = spark.read.parquet(split)
+    sites = D.sites(pages)
+    small, large = (jobs.site_urls(pages, sites, broadcast_limit=limit) for limit in (1 << 25, 0))
+    assert same(small, large)
+    for name, limit in (("a", 1 << 25), ("b", 0)):
+        jobs.write_items(stream(spark, split), sites, str(tmp_path / name), str(tmp_path / name / "ck"), D.SERVER, broadcast_limit=limit).awaitTermination()
+    a, b = (spark.read.parquet(f"{tmp_path}/{name}/items").select("site_key", "page_id", "body") for name in "ab")
+    assert same(a, b) and not a.isEmpty()
