@@ -73,10 +73,12 @@ LEAF_STOP = CrawlOptions(
 
 @dataclass(frozen=True)
 class CrawlResult:
-    """`reached`: site_key, url, depth, status, is_content. `facts`: parsed pages."""
+    """`reached`: site_key, url, depth, status, is_content. `facts`: parsed pages.
+    `rounds`: how many the run took."""
 
     reached: DataFrame
     facts: DataFrame
+    rounds: int
 
     def log(self) -> DataFrame:
         """What a run writes to the crawl log: error pages are logged, absent ones not."""
@@ -482,7 +484,7 @@ def crawl(
             F.coalesce("is_content", F.lit(False)).alias("is_content"),
         )
     )
-    return CrawlResult(reached, facts)
+    return CrawlResult(reached, facts, number)
 
 
 def crawl_by_mode(
@@ -494,6 +496,6 @@ def crawl_by_mode(
 
     def of(mode: str) -> CrawlResult:
         keys = own.where(F.col("mode") == mode).select("site_key")
-        return CrawlResult(result.reached.join(keys, "site_key", "left_semi"), result.facts.where(F.col("mode") == mode))
+        return CrawlResult(result.reached.join(keys, "site_key", "left_semi"), result.facts.where(F.col("mode") == mode), result.rounds)
 
     return {mode: of(mode) for mode in options}
