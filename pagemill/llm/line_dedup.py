@@ -102,8 +102,8 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return source.mapInArrow(run, "id long, key string, pos int, h long, sim long")
 
 
-def edit_distance(one: str, other: str) -> int:
-    """Levenshtein distance, by bit vectors over the first text."""
+def edit_distance(one, other) -> int:
+    """Levenshtein distance of two texts or two lists of words, by bit vectors over the first."""
     same = len(commonprefix([one, other]))
     one, other = one[same:], other[same:]
     same = len(commonprefix([one[::-1], other[::-1]]))
@@ -127,18 +127,18 @@ def edit_distance(one: str, other: str) -> int:
 
 def similar(one: str, other: str, least: float) -> bool:
     """Whether the edit distance is at most (1 - least) of the longer text. Replacing the words
-    that differ, or all between the common ends, bounds it and settles most pairs."""
+    that differ, or editing the text word by word, bounds it and settles most pairs."""
     most = (1 - least) * max(len(one), len(other)) + 1e-9
     if abs(len(one) - len(other)) > most:
         return False
     words, others = one.split(" "), other.split(" ")
     if len(words) == len(others) and sum(max(len(a), len(b)) for a, b in zip(words, others, strict=True) if a != b) <= most:
         return True
-    same = len(commonprefix([one, other]))
-    one, other = one[same:], other[same:]
-    same = len(commonprefix([one[::-1], other[::-1]]))
-    one, other = one[: len(one) - same], other[: len(other) - same]
-    return max(len(one), len(other)) <= most or edit_distance(one, other) <= most
+    # A word that is replaced, added or left out costs its letters and a space at most.
+    longest = max(map(len, words + others)) + 1
+    if edit_distance(words, others) * longest <= most:
+        return True
+    return edit_distance(one, other) <= most
 
 
 def _links(rows: DataFrame, key: str, max_bits: int, similarity: float | None) -> DataFrame:

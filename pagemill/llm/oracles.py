@@ -80,9 +80,9 @@ FROM judged LEFT JOIN rejected USING (source)
 
 def _op9() -> str:
     steps, before = [], "groups0"
-    for d in range(1, 5):
+    for d in range(1, 7):  # as deep as the paths of the tables, and deeper
         steps.append(f"""
-sums{d} AS (SELECT host, template, s{d} AS s, sum(n) AS n, sum(bad) AS bad, sum(bad + good) AS seen FROM {before} GROUP BY ALL),
+sums{d} AS (SELECT host, template, coalesce(p[{d}], '') AS s, sum(n) AS n, sum(bad) AS bad, sum(bad + good) AS seen FROM {before} GROUP BY ALL),
 literal{d} AS (
     SELECT *, bad / greatest(seen, 1) AS rate FROM sums{d} JOIN (SELECT host, template, sum(n) AS total FROM sums{d} GROUP BY ALL) USING (host, template)
     WHERE n >= 0.05::DOUBLE * total AND s <> ''
@@ -98,12 +98,12 @@ literal{d} AS (
     SELECT host, template, s, string_agg(s, '|' ORDER BY s) OVER (PARTITION BY host, template, g
         ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS branch FROM grouped{d}
 ), groups{d} AS (
-    SELECT x.* REPLACE (x.template || CASE WHEN s{d} = '' THEN '' ELSE '/' || coalesce(branch, '*') END AS template)
-    FROM {before} x LEFT JOIN branches{d} b ON x.host = b.host AND x.template = b.template AND x.s{d} = b.s
+    SELECT x.* REPLACE (x.template || CASE WHEN coalesce(p[{d}], '') = '' THEN '' ELSE '/' || coalesce(branch, '*') END AS template)
+    FROM {before} x LEFT JOIN branches{d} b ON x.host = b.host AND x.template = b.template AND coalesce(x.p[{d}], '') = b.s
 )""")
         before = f"groups{d}"
     shape = r"CASE WHEN regexp_matches(x, '^[0-9]+(\.[A-Za-z0-9]+)?$') THEN regexp_replace(x, '[0-9]+', '{n}', 'g') WHEN regexp_matches(x, '^[0-9a-f]{8,}$') THEN '{h}' ELSE x END"
-    keys = "host, s1, s2, s3, s4, deeper"
+    keys = "host, p"
     return rf"""
 WITH split AS (
     SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -121,12 +121,12 @@ WITH split AS (
            list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: {shape}) AS p
     FROM ruled
 ), listed AS (
-    SELECT *, coalesce(p[1], '') AS s1, coalesce(p[2], '') AS s2, coalesce(p[3], '') AS s3, coalesce(p[4], '') AS s4, len(p) > 4 AS deeper FROM parts
+    SELECT * FROM parts
 ), groups0 AS (
     SELECT {keys}, '' AS template, count(*)::DOUBLE AS n, (count(*) FILTER (decided = 'block'))::DOUBLE AS bad, (count(*) FILTER (decided = 'allow'))::DOUBLE AS good
     FROM listed GROUP BY {keys}
 ),{",".join(steps)},
-final AS (SELECT * REPLACE (CASE WHEN deeper THEN template || '/**' ELSE template END AS template) FROM {before}),
+final AS (SELECT * FROM {before}),
 everywhere AS (SELECT CASE WHEN sum(bad + good) > 0 THEN sum(bad) / sum(bad + good) ELSE 0 END AS rate FROM final),
 hosts AS (SELECT host, (sum(bad) + 2.0::DOUBLE * max(rate)) / (sum(bad) + sum(good) + 2.0::DOUBLE) AS host_rate FROM final, everywhere GROUP BY host),
 judged AS (

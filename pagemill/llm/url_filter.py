@@ -8,7 +8,7 @@ rejected if its share of bad labels, smoothed towards its host's and the host's
 labels', is `reject_at` or more.
 
 Defined results: a null URL, or one without "://", has empty host and path and is judged
-like any other; templates cover DEPTH segments, and what is deeper shares one branch;
+like any other; paths of any depth are followed, as long as two different ones share a node;
 repeated rows count and come back as often as they stand; without labels nothing is rejected.
 """
 
@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from pagemill.runtime import materialize
 
-DEPTH = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,39 +51,56 @@ def segments(path: Column) -> Column:
 
 
 def templates(urls: DataFrame, least_share: float = 0.05, level: float = 1.96) -> DataFrame:
-    """Rows (host, s1..s<DEPTH>, rest, template, bad, good) of distinct segment lists, from rows
-    (host, path, bad), bad being 1, 0 or null. One level of the tree at a time; nothing but
-    sums by branch is shuffled."""
-    parts = segments(F.col("path"))
-    names = [f"s{d}" for d in range(1, DEPTH + 1)]
-    listed = urls.withColumn("parts", parts).select(
-        "host", *[F.coalesce(F.get("parts", F.lit(d)), F.lit("")).alias(name) for d, name in enumerate(names)],
-        (F.size("parts") > DEPTH).alias("deeper"), "bad",
-    )
+    """Rows (host, parts, template, n, bad, good) of distinct segment lists, from rows (host, path,
+    bad), bad being 1, 0 or null. One level of the tree at a time, until no node holds two lists
+    any more: a list alone in its node is literal to its end. Nothing but sums by branch is
+    shuffled."""
+    listed = urls.select("host", segments(F.col("path")).alias("parts"), "bad")
     count = lambda value: F.coalesce(F.sum((F.col("bad") == value).cast("long")), F.lit(0))
-    groups = listed.groupBy("host", *names, "deeper").agg(F.count(F.lit(1)).alias("n"), count(1).alias("bad"), count(0).alias("good"))
-    groups = materialize(groups.withColumn("template", F.lit("")), "url-groups")
-    for name in names:
-        sums = groups.groupBy("host", "template", name).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-        totals = sums.groupBy("host", "template").agg(F.sum("n").alias("total"))
-        literal = sums.join(totals, ["host", "template"]).where(F.col("n") >= least_share * F.col("total")).where(F.col(name) != "")
-        literal = literal.withColumn("seen", F.col("bad") + F.col("good")).withColumn("rate", F.col("bad") / F.greatest("seen", F.lit(1)))
-        # Branches in order of their rate: a new group starts where the step is significant.
-        node = Window.partitionBy("host", "template").orderBy((F.col("seen") == 0), "rate", name)
-        last = lambda c: F.lag(c).over(node)  # noqa: E731, B023
-        pooled = (F.col("bad") + last("bad")) / (F.col("seen") + last("seen"))
-        spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("seen") + 1 / last("seen")))
-        same = (F.col("seen") == 0) & (last("seen") == 0) | (F.col("seen") > 0) & (last("seen") > 0) & (
-            (F.col("rate") - last("rate")) <= level * spread)
-        literal = literal.withColumn("step", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
-        literal = literal.withColumn("group", F.sum("step").over(node))
-        whole = Window.partitionBy("host", "template", "group")
-        branch = F.array_join(F.sort_array(F.collect_list(name).over(whole)), "|")
-        branches = literal.select("host", "template", name, branch.alias("branch"))
-        joined = groups.join(branches, ["host", "template", name], "left")
-        step = F.when(F.col(name) == "", "").otherwise(F.concat(F.lit("/"), F.coalesce("branch", F.lit("*"))))
-        groups = joined.withColumn("template", F.concat("template", step)).drop("branch")
-    return groups.withColumn("template", F.when(F.col("deeper"), F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
+    groups = listed.groupBy("host", "parts").agg(F.count(F.lit(1)).alias("n"), count(1).alias("bad"), count(0).alias("good"))
+    groups, done, depth = materialize(groups.withColumn("template", F.lit("")), "url-groups"), [], 0
+    columns = ["host", "parts", "template", "n", "bad", "good"]
+    while True:
+        size = groups.groupBy("host", "template").agg(F.count(F.lit(1)).alias("lists"))
+        groups = groups.join(size, ["host", "template"])
+        rest = F.slice("parts", depth + 1, F.greatest(F.size("parts") - depth, F.lit(0)))
+        ended = (F.col("lists") == 1) | (F.size("parts") <= depth)
+        whole = F.when(F.size(rest) > 0, F.concat(F.col("template"), F.lit("/"), F.array_join(rest, "/"))).otherwise(F.col("template"))
+        marked = materialize(groups.select("host", "parts", "n", "bad", "good", F.when(ended, whole).otherwise(F.col("template")).alias("template"), ended.alias("ended")), "url-level")
+        done.append(marked.where("ended").select(columns))
+        # Lists that end in a node still count among its URLs.
+        if marked.where("NOT ended").isEmpty():
+            break
+        groups = _next_level(marked, depth, least_share, level).where("NOT ended").select(columns)
+        depth += 1
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+def _next_level(groups: DataFrame, depth: int, least_share: float, level: float) -> DataFrame:
+    """`groups` with the branch of their segment at `depth` added to their templates."""
+    groups = groups.withColumn("s", F.when(~F.col("ended"), F.get("parts", F.lit(depth))).otherwise(""))
+    sums = groups.groupBy("host", "template", "s").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    totals = sums.groupBy("host", "template").agg(F.sum("n").alias("total"))
+    literal = sums.join(totals, ["host", "template"]).where(F.col("n") >= least_share * F.col("total")).where("s <> ''")
+    literal = literal.withColumn("seen", F.col("bad") + F.col("good")).withColumn("rate", F.col("bad") / F.greatest("seen", F.lit(1)))
+    # Branches in order of their rate: a new group starts where the step is significant.
+    node = Window.partitionBy("host", "template").orderBy((F.col("seen") == 0), "rate", "s")
+    last = lambda c: F.lag(c).over(node)
+    pooled = (F.col("bad") + last("bad")) / (F.col("seen") + last("seen"))
+    spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("seen") + 1 / last("seen")))
+    same = (F.col("seen") == 0) & (last("seen") == 0) | (F.col("seen") > 0) & (last("seen") > 0) & (
+        (F.col("rate") - last("rate")) <= level * spread)
+    literal = literal.withColumn("step", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
+    literal = literal.withColumn("group", F.sum("step").over(node))
+    whole = Window.partitionBy("host", "template", "group")
+    branch = F.array_join(F.sort_array(F.collect_list("s").over(whole)), "|")
+    branches = literal.select("host", "template", "s", branch.alias("branch"))
+    joined = groups.join(branches, ["host", "template", "s"], "left")
+    step = F.when(F.col("s") == "", "").otherwise(F.concat(F.lit("/"), F.coalesce("branch", F.lit("*"))))
+    return joined.withColumn("template", F.concat("template", step)).drop("branch", "s")
 
 
 def verdicts(grouped: DataFrame, strength: float = 2.0, reject_at: float = 0.8) -> DataFrame:
@@ -112,12 +128,7 @@ def judge(
     if labels is not None:
         known = known.unionByName(labels.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("bad").cast("int").alias("bad")))
     grouped = materialize(templates(known, **options), "url-templates")
-    names = [f"s{d}" for d in range(1, DEPTH + 1)]
-    by_group = grouped.select("host", *names, "deeper", "template").join(verdicts(grouped), ["host", "template"])
+    by_group = grouped.select("host", "parts", "template").join(verdicts(grouped), ["host", "template"])
     listed = rows.withColumn("parts", segments(F.col("path")))
-    listed = listed.select(
-        "id", "host", "path", "rule", "ruled", *[F.coalesce(F.get("parts", F.lit(d)), F.lit("")).alias(name) for d, name in enumerate(names)],
-        (F.size("parts") > DEPTH).alias("deeper"),
-    )
     verdict = F.coalesce("ruled", F.when(F.col("rejected"), "block").otherwise("allow"))
-    return listed.join(by_group, ["host", *names, "deeper"], "left").select("id", "host", "path", "rule", verdict.alias("verdict"), "template")
+    return listed.join(by_group, ["host", "parts"], "left").select("id", "host", "path", "rule", verdict.alias("verdict"), "template")

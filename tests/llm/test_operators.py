@@ -171,6 +171,16 @@ def test_url_templates_learn_from_labels(spark):
     assert len(got) == 65 and url_filter.judge(pages.limit(0), []).count() == 0
 
 
+def test_a_label_deep_in_a_path_decides(spark):
+    """Branches far below the root are told apart, and one long path takes no rounds of its own."""
+    rows = [(i, f"http://h.example/a/b/c/d/{'spam' if i % 2 else 'news'}/{i}/x") for i in range(40)] + [(99, "http://h.example/" + "deep/" * 500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = pages.where("page_id < 30").select("url", (F.col("page_id") % 2).alias("bad"))
+    got = {r["id"]: r for r in url_filter.judge(pages, [], labels).collect()}
+    assert got[31]["verdict"] == "block" and got[32]["verdict"] == "allow" and len(got) == 41
+    assert got[99]["verdict"] == "allow" and got[99]["template"].count("/deep") == 500
+
+
 def test_hosts_are_rejected_by_their_failures(spark):
     rng = random.Random(8)
     good = " ".join(f"w{i}" for i in range(60))
