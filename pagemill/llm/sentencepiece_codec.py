@@ -90,17 +90,29 @@ class Codec:
 
     def _tables(self) -> None:
         self.longest, self.shorter = ahocorasick.Automaton(), {}
-        known = [p for p in self.ids if len(p) == 1 or (p not in self.tied and self.merge(p) == [p])]
+        order = sorted((p for p in self.ids if len(p) > 1), key=lambda p: -self.score[p])
+        self.rank = {piece: i for i, piece in enumerate(order)}
+        #: The two parts that the last merge of a piece puts together.
+        self.last_merge: dict[str, tuple[str, str]] = {}
+        known = []
+        for piece in self.ids:
+            parts = [piece] if len(piece) == 1 else [] if piece in self.tied else self.merge(piece, 2)
+            if len(parts) == 2 and self.merge(piece) == [piece]:
+                self.last_merge[piece] = (parts[0], parts[1])
+                known.append(piece)
+            elif len(piece) == 1:
+                known.append(piece)
         usable = set(known)
         for piece in known:
             self.longest.add_word(piece, piece)
             self.shorter[piece] = next((piece[:n] for n in range(len(piece) - 1, 0, -1) if piece[:n] in usable), None)
         self.longest.make_automaton()
 
-    def merge(self, text: str) -> list[str]:
-        """The definition: merge the adjacent pair of the best score, leftmost first."""
+    def merge(self, text: str, least: int = 1) -> list[str]:
+        """The definition: merge the adjacent pair of the best score, leftmost first, until
+        `least` parts are left."""
         parts, score = list(text), self.score
-        while len(parts) > 1:
+        while len(parts) > least:
             pairs = [score.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
             best = max((s for s in pairs if s is not None), default=None)
             if best is None:
@@ -110,7 +122,23 @@ class Codec:
         return parts
 
     def compatible(self, left: str, right: str) -> bool:
-        return self.merge(left + right) == [left, right]
+        """Whether merging the two side by side leaves them as they are.
+
+        Their last merges are undone, the later one first. Where the pieces then met must
+        not be a piece that would have been merged before that: at equal rank the one
+        further left, which is the joint unless the left piece itself was merged.
+        """
+        rank, last, limit = self.rank, self.last_merge, len(self.rank) + 1
+        while True:
+            if rank.get(left + right, limit) < limit:
+                return False
+            one, other = last.get(left), last.get(right)
+            if one and (not other or rank[left] > rank[right]):
+                limit, left = rank[left], one[1]
+            elif other:
+                limit, right = rank[right] + 1, other[0]
+            else:
+                return True
 
     def _cut(self, text: str) -> list[str]:
         """Pieces of a text that has known characters only and no tied piece."""

@@ -126,3 +126,13 @@ def test_hidden_words_are_restored():
         assert scorer.document(text)[0] > 0.7, text
     for text in ("", "a b c d e", "the 1000 things", "$$$ *** ###", "x" * 5000, "555-2186"):
         assert scorer.document(text)[0] < 0.7, text
+
+
+def test_pieces_stand_side_by_side_exactly_where_merging_leaves_them():
+    model = sentencepiece_codec.Codec(MODEL)
+    rng = random.Random(8)
+    pieces = sorted(model.shorter)
+    short = [p for p in pieces if len(p) <= 3]
+    pairs = [(rng.choice(pieces), rng.choice(pieces)) for _ in range(1500)] + [(rng.choice(short), rng.choice(short)) for _ in range(1500)]
+    pairs += [(p, p) for p in rng.sample(pieces, 200)]
+    assert all(model.compatible(a, b) == (model.merge(a + b) == [a, b]) for a, b in pairs)
