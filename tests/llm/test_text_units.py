@@ -129,7 +129,7 @@ def test_hidden_words_are_restored():
 
 
 def test_pieces_stand_side_by_side_exactly_where_merging_leaves_them():
-    model = sentencepiece_codec.Codec(MODEL)
+    model = Codec(MODEL)
     rng = random.Random(8)
     pieces = sorted(model.shorter)
     short = [p for p in pieces if len(p) <= 3]
