@@ -36,7 +36,8 @@ STEM_LENGTHS = range(4, 9)
 EDGES = ".,;:!?\"'`()[]{}<>*#%&|-_=+~/\\…«»“”‘’"
 ALPHABET_END = 0x250
 MAX_TERMS = 5000
-CACHED_TOKENS = 50_000
+CACHED_TOKENS = 60_000  # in each of two generations
+COUNTED_WORDS = 150_000
 TRIPLE = re.compile(r"(.)\1\1").search
 SPACED_RUN = 4
 LONGEST_TERM = 24
@@ -66,7 +67,7 @@ def letter_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             grams: Counter = Counter()
             for text in batch.column(0):
                 words.update((text.as_py() or "").lower().split())
-                if len(words) > CACHED_TOKENS:
+                if len(words) > COUNTED_WORDS:
                     _count(words, grams)
                     words.clear()
             _count(words, grams)
@@ -191,7 +192,9 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.cache: dict[str, float] = {}
+        # When the cache is full it becomes the old one, from which tokens in use come back.
+        self.cache: dict[str, tuple | None] = {}
+        self.old: dict[str, tuple | None] = {}
 
     def letter(self, before: str, last: str, char: str) -> float:
         if ord(char) >= ALPHABET_END:
@@ -238,11 +241,15 @@ class Scorer:
 
     def token(self, token: str) -> tuple[float, list[str]] | None:
         """As plain(), over all readings; None if there is nothing."""
-        found = [self.plain(word) for word in self.readings(token)]
-        value, doubled = max(v for v, _ in found), sorted({s for _, stems in found for s in stems})
+        if token in self.old:
+            answer = self.old[token]
+        else:
+            found = [self.plain(word) for word in self.readings(token)]
+            value, doubled = max(v for v, _ in found), sorted({s for _, stems in found for s in stems})
+            answer = (value, doubled) if value or doubled else None
         if len(self.cache) >= CACHED_TOKENS:
-            self.cache.clear()
-        self.cache[token] = answer = (value, doubled) if value or doubled else None
+            self.old, self.cache = self.cache, {}
+        self.cache[token] = answer
         return answer
 
     def readings(self, token: str) -> list[str]:

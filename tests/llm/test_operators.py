@@ -240,3 +240,22 @@ def test_rows_that_repeat_an_id_keep_their_own_lines(spark):
     assert any("a unique first line of text" in text for text in once) and sum("second own line here" in text for text in once) == 1
     labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
     assert toxicity.drop_toxic(docs, toxicity.learn(docs, labels)).columns == docs.columns
+
+
+def test_pipeline_stages_on_awkward_and_empty_documents(spark, tmp_path):
+    """Nulls in every column, repeated rows and ids, empty and very long texts, more columns."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, id int, toxic string, key string, removed int"
+    odd = [(*r[:5], r[5], "x", "y", 1) for r in AWKWARD] + [(None, None, None, None, None, None, None, None, None)] * 2
+    for name, rows in (("odd", odd), ("none", [])):
+        folder = tmp_path / name
+        spark.createDataFrame(rows, kind).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([(5, 1), (None, 0), (4, None)], "doc_id long, toxic int").write.parquet(str(folder / "labels.parquet"))
+        docs, stages = spark.read.parquet(str(folder / "documents.parquet")), []
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(folder))
+            assert docs.columns == corpus_pipeline.COLUMNS
+            stages.append(docs.count())
+        # No document goes for its lines, and copies of a text become one.
+        assert stages[0] == stages[1] and stages[2] <= stages[1]
+        out = corpus_pipeline.run(spark, str(folder))
+        assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and (out.count() > 0) == bool(rows)
