@@ -10,7 +10,10 @@ The most frequent words come to the driver and get classes by their frequency. A
 to the remaining classes by a hash, and their counts are joined, so no task holds them all.
 
 Defined results: null, blank and empty texts have no tokens, a sum of zero and a null mean;
-an empty table gives no rows.
+an empty table gives no rows. Very long texts are read whole, in blocks; rows that repeat an id, or
+have none, are trained on and scored one by one; ties in frequency go to the smaller word; other
+columns are ignored. Weights are averaged over the tasks of a round, so scores depend a little on
+how the input is split.
 """
 
 from __future__ import annotations

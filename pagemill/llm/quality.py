@@ -5,8 +5,9 @@ shrunk towards a beta prior fitted to all hosts, and a host whose shrunk rate is
 `reject_rate` takes its documents with it.
 
 Defined results: a null or blank text has no words and fails; a document without a host is judged
-by its own rules only; repeated rows count and come back as often as they stand; an
-empty table gives no rows.
+by its own rules only; repeated rows count and come back as often as they stand; very long texts
+are judged whole, and their windows compared by 64-bit hashes within the text; other columns
+pass through or are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -7,8 +7,13 @@ at each position; a piece is taken if it fits its left neighbour, else the next
 shorter one is tried; positions from which nothing fits are marked in a bitfield and
 never tried again.
 
+Pieces with equal scores leave the order of merges to positions; the few parts of a text
+that hold such a piece are merged as the definition says, by a heap.
+
 Defined results: null and empty texts have no tokens and decode to the empty text; a
-null stays one row. Characters that no piece has become byte pieces.
+null stays one row. Characters that no piece has become byte pieces. Very long texts are
+coded whole, unit by unit; repeated rows and ids, and null ids, come back as they stand;
+other columns are ignored.
 """
 
 from __future__ import annotations
