@@ -202,12 +202,14 @@ def _first_by(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
 
 
 def with_links(
-    pages: DataFrame, options: LinkOptions = LinkOptions(), url: str = "url", html: str = "html"
+    pages: DataFrame, options: LinkOptions = LinkOptions(), url: str = "url", html: str = "html", base: str | None = None
 ) -> DataFrame:
-    """Add `links`: array<struct<pos, url, text, nofollow>> in document order."""
+    """Add `links`: array<struct<pos, url, text, nofollow>> in document order, and the
+    document base they were resolved against as a column called `base`, if that is given."""
     o = options
     df = pages.withColumn("_markup", visible_markup(F.col(html)))
-    df = df.withColumn("_base", urls.split_url(document_base(F.col("_markup"), F.col(url))))
+    df = df.withColumn("_base_url", document_base(F.col("_markup"), F.col(url)))
+    df = df.withColumn("_base", urls.split_url(F.col("_base_url")))
     regions = [*o.restrict_xpaths, *map(dom.css_to_xpath, o.restrict_css)]
     if regions or callable(o.tags) or callable(o.attrs):
         raw = dom.region_links(regions, o.tags, o.attrs)(F.col(html))
@@ -239,7 +241,8 @@ def with_links(
         df = df.withColumn("links", F.transform("links", canonical))
     if o.unique:
         df = _first_by(df, "links", ["url", "text", "nofollow"])
-    return df.drop("_markup", "_base")
+    df = df.drop("_markup", "_base")
+    return df.withColumnRenamed("_base_url", base) if base else df.drop("_base_url")
 
 
 def unique_urls(df: DataFrame, column: str = "links") -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import predicates, urls
 from pagemill.operators.binding import SiteIndex, asked_configs, index_sites, parse_pages, site_rows
-from pagemill.operators.links import LinkOptions, document_base, visible_markup, with_links
+from pagemill.operators.links import LinkOptions, with_links
 from pagemill.plans import pagination
 from pagemill.runtime import bounded_join, materialize, scratch_path
 from pagemill.sources import catalog
@@ -143,15 +143,13 @@ def _one_of_each(rows: DataFrame) -> DataFrame:
 
 
 def _page_columns(links: LinkOptions):
-    """Adds what a page says whoever asks: link targets, base and an identity.
-    The base is taken from the raw URL."""
+    """Adds what a page says whoever asks: link targets, base and an identity."""
     o = replace(links, unique=False, with_text=False)
 
     def add(pages: DataFrame) -> DataFrame:
-        base = document_base(visible_markup(F.col("html")), F.col("url"))
         digest = F.md5(F.coalesce("html", F.lit("")).cast("binary"))
         targets = F.array_distinct(F.transform("links", lambda x: x["url"]))
-        return with_links(pages.withColumn("digest", digest), o).withColumns({"targets": targets, "base": base}).drop("links")
+        return with_links(pages.withColumn("digest", digest), o, base="base").withColumn("targets", targets).drop("links")
 
     return add
 
@@ -341,7 +339,7 @@ class _Foreign:
             self.answers.append_clustered(table)
 
     def _answers(self, told: DataFrame, block: list) -> DataFrame:
-        names = F.array(*[F.lit(profile) for profile, _ in block])
+        names = F.array(*[F.lit(profile) for profile, _ in block]).cast("array<string>")
         some = lambda x: x["facts"]["is_content"] | x["facts"]["next_href"].isNotNull() | x["facts"]["failure"].isNotNull()
         rows = told.select("page_key", F.explode(F.filter("everywhere", some)).alias("a"))
         return rows.select(
