@@ -263,7 +263,8 @@ def listing_router(spark, sf_dir):
 
 
 def _stream(spark, sf_dir):
-    return fetch.stream_pages(spark, sf_dir, glob="pages.parquet")
+    """Braces make the path a pattern, which may name one file or a folder of them."""
+    return fetch.stream_pages(spark, sf_dir + "/{pages.parquet}", glob="*")
 
 
 def _drain(spark, stream: DataFrame, mode: str = "append", **options) -> DataFrame:

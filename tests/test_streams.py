@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import derived as D
+from checks import queries
 from pagemill import schema
 from pagemill.operators import items
 from pagemill.operators.binding import bind_sites
@@ -132,3 +133,17 @@ def test_large_catalogs_serve_streams(spark, split, tmp_path):
         jobs.write_items(stream(spark, split), sites, str(tmp_path / name), str(tmp_path / name / "ck"), D.SERVER, broadcast_limit=limit).awaitTermination()
     a, b = (spark.read.parquet(f"{tmp_path}/{name}/items").select("site_key", "page_id", "body") for name in "ab")
     assert same(a, b) and not a.isEmpty()
+
+
+@pytest.mark.parametrize("name", ["stream_links", "stream_first_seen", "stream_visits", "stream_items"])
+def test_stream_queries_read_tables_of_several_files(spark, tmp_path, name):
+    """A table is one file or a folder of files, of any name."""
+    pages = spark.read.parquet(SOURCE)
+    pages.coalesce(1).write.parquet(str(tmp_path / "one"))
+    pages.repartition(3).write.parquet(str(tmp_path / "many/pages.parquet"))
+    (tmp_path / "single").mkdir()
+    next((tmp_path / "one").glob("part-*")).rename(tmp_path / "single/pages.parquet")
+    for i, part in enumerate((tmp_path / "many/pages.parquet").glob("part-*")):
+        part.rename(part.with_name(f"{i}.data"))
+    made = [queries.registry()[name](spark, str(tmp_path / kind)) for kind in ("single", "many")]
+    assert same(*made) and not made[0].isEmpty()
