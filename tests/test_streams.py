@@ -147,3 +147,18 @@ def test_stream_queries_read_tables_of_several_files(spark, tmp_path, name):
         part.rename(part.with_name(f"{i}.data"))
     made = [queries.registry()[name](spark, str(tmp_path / kind)) for kind in ("single", "many")]
     assert same(*made) and not made[0].isEmpty()
+
+
+def test_visits_are_flagged_in_a_session_without_a_state_store(spark, split, tmp_path):
+    """Spark's default store keeps no keyed state; the session's own settings stay as they are."""
+    key, rows = "spark.sql.streaming.stateStore.providerClass", jobs.site_urls(stream(spark, split), D.sites(spark.read.parquet(split)))
+    before = spark.conf.get(key)
+    spark.conf.unset(key)
+    try:
+        flagged = visits.flagged_visits(rows)
+        jobs.write_batches(flagged, str(tmp_path / "out"), str(tmp_path / "ck"), "update").awaitTermination()
+        assert spark.conf.get(key, None) is None
+    finally:
+        spark.conf.set(key, before)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.where("first").count() == out.select("site_key", "url").distinct().count() > 0
