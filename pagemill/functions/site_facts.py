@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import types as T
 
-from pagemill.functions.dom import FACTS_ARROW, FACTS_TYPE, Page, failed, once
+from pagemill.functions.dom import FACTS_ARROW, FACTS_TYPE, Page, by_rows, failed, once
 
 ANSWERS_TYPE = T.ArrayType(
     T.StructType([T.StructField("site", T.IntegerType()), T.StructField("facts", FACTS_TYPE)])
@@ -65,8 +65,7 @@ def facts_by_number(questions: Sequence[Questions]) -> Callable:
 
     @once(ANSWERS_TYPE)
     def answer(html: pa.Array, numbers: pa.Array) -> pa.Array:
-        rows = zip(html.to_pylist(), numbers.to_pylist(), strict=True)
-        return pa.array([_answers(text, [(i, questions[i]) for i in asked or ()]) for text, asked in rows], _ANSWERS_ARROW)
+        return by_rows(lambda text, asked: _answers(text, [(i, questions[i]) for i in asked or ()]), [html, numbers], _ANSWERS_ARROW)
 
     return answer
 
@@ -78,8 +77,7 @@ def facts_by_config(html: pa.Array, configs: pa.Array) -> pa.Array:
     def asked(found):
         return [(i, (c["conditions"], c["next_xpaths"], c["fields"])) for i, c in enumerate(found or ())]
 
-    rows = zip(html.to_pylist(), configs.to_pylist(), strict=True)
-    return pa.array([_answers(text, asked(found)) for text, found in rows], _ANSWERS_ARROW)
+    return by_rows(lambda text, found: _answers(text, asked(found)), [html, configs], _ANSWERS_ARROW)
 
 
 # Ship this module inside the UDFs, so executors need no installed copy.

@@ -31,7 +31,7 @@ from pagemill.functions import predicates, urls
 from pagemill.operators.binding import SiteIndex, asked_configs, index_sites, parse_pages, site_rows
 from pagemill.operators.links import LinkOptions, with_links
 from pagemill.plans import pagination
-from pagemill.runtime import bounded_join, materialize, scratch_path
+from pagemill.runtime import bounded_join, materialize, materialize_parsed, scratch_path
 from pagemill.sources import catalog
 
 # What may happen to a reached URL.
@@ -181,7 +181,7 @@ def site_facts(pages: DataFrame, sites: DataFrame | SiteIndex, options: CrawlOpt
     """One written row per (site, canonical page URL). Pages are parsed where they are
     read, and once for all their sites; only the narrow results are shuffled."""
     index = sites if isinstance(sites, SiteIndex) else index_sites(with_options(sites, options))
-    return materialize(_facts(_told(pages, index, options.links), index), "facts")
+    return materialize_parsed(_facts(_told(pages, index, options.links), index), "facts")
 
 
 def in_crawl_scope(url: Column, mode: Column) -> Column:
@@ -325,11 +325,12 @@ class _Foreign:
                 blocks.append(block)
                 block = []
         blocks = [*blocks, block] if block or not blocks else blocks
-        self.told = materialize(_told(pages, index, links, [q for _, q in blocks[0]]), "told")
+        self.told = materialize_parsed(_told(pages, index, links, [q for _, q in blocks[0]]), "told")
         tables = [self._answers(self.told, blocks[0])]
         for more in blocks[1:]:
             nobody = index_sites(index.sites.where("false"))
-            tables.append(self._answers(_told(pages, nobody, links, [q for _, q in more]), more))
+            told = materialize_parsed(_told(pages, nobody, links, [q for _, q in more]), "told")
+            tables.append(self._answers(told, more))
         self.buckets = _Table(pages.sparkSession, "open", ["page_key"])
         flagged = predicates.is_error_page(F.col("url"), F.col("error_body")).alias("is_error")
         body = F.get("everywhere", F.lit(0))["facts"]["error_body"].alias("error_body")
@@ -370,7 +371,7 @@ class _Foreign:
         gathered = pairs.groupBy("page_key").agg(F.sort_array(F.collect_list("config")).alias("configs"))
         keyed = self.pages.withColumn("page_key", F.coalesce(urls.canonicalize_url(F.col("url")), F.lit("")))
         found = bounded_join(keyed, gathered, ["page_key"], F.xxhash64("url", "page_id"))
-        return materialize(values_of(found), "values")
+        return materialize_parsed(values_of(found), "values")
 
     def drop(self) -> None:
         self.buckets.drop()
@@ -407,7 +408,7 @@ def crawl(
     run = index.sites
     foreign = _Foreign(pages, index, links) if any(o.leaves_site for o in used) else None
     told = foreign.told.drop("everywhere") if foreign else _told(pages, index, links)
-    facts = materialize(_facts(told, index), "facts")
+    facts = materialize_parsed(_facts(told, index), "facts")
     parsed = [facts]
     clicks = None if landings is None else click_edges(landings)
     edges = _Table(spark, "edges", ["site_key", "src"])

@@ -1,8 +1,10 @@
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from pagemill import runtime
 from pagemill.functions import dom
 from pagemill.functions.dom import Document
 from pagemill.operators.items import parse_quarantine
@@ -94,3 +96,39 @@ def test_strings_come_in_document_order_and_once():
     assert doc.strings("//h1/text() | //h1/text()") == ["t"]
     assert doc.strings("//h1/text() | //b/@id | //article/text()") == ["x", "1", "y", "t"]
     assert doc.strings("//h1 | //b") == ["cef", "t"]
+
+
+def test_workers_hold_few_rows_as_objects(monkeypatch):
+    """However many pages a batch has, so many of them are Python objects at a time."""
+    taken, cut = [], pa.array([f"<pre>{i}" for i in range(1050)])
+
+    class Column:
+        def __len__(self):
+            return len(cut)
+
+        def slice(self, at, n):
+            taken.append(n)
+            return cut.slice(at, n)
+
+    found = dom.by_rows(lambda text: text[5:], [Column()], pa.string())
+    assert found.to_pylist() == [str(i) for i in range(1050)] and max(taken) <= 100
+    assert dom.by_rows(len, [cut.slice(0, 0)], pa.int64()).to_pylist() == []
+
+
+def test_parsed_pages_are_written_in_recommended_batches(spark, monkeypatch):
+    """Where the session names none; what it names, before or after, stays."""
+    seen, keys = [], runtime.ARROW_BATCHES
+    monkeypatch.setattr(runtime, "materialize", lambda df, name: seen.append([spark.conf.get(key, None) for key in keys]))
+    before = [spark.conf.get(key) for key in keys]
+    try:
+        for key in keys:
+            spark.conf.unset(key)
+        runtime.materialize_parsed(spark.range(1), "x")
+        assert [spark.conf.get(key, None) for key in keys] == [None, None]
+        spark.conf.set(keys[0], "7")
+        runtime.materialize_parsed(spark.range(1), "x")
+    finally:
+        for key, value in zip(keys, before):
+            spark.conf.set(key, value)
+    recommended = [runtime.RECOMMENDED_CONF[key] for key in keys]
+    assert seen == [recommended, ["7", recommended[1]]]
