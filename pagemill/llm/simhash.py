@@ -16,8 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import bit_links, block_keys, cells, components, spread_groups
-from pagemill.runtime import materialize
+from pagemill.llm.common import bit_links, block_keys, cells, components, slices, spread_groups
+from pagemill.runtime import BROADCAST_LIMIT_BYTES, materialize, materialize_measured
 
 BLOCK = 1 << 16
 SEED = 42
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = [fingerprint(text.as_py(), shingle) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], ["id", "print"])
 
@@ -114,5 +114,7 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """`docs` without those whose component has a smaller id. Rows without an id stay,
     as do rows that repeat a kept id."""
     id_col = options.get("id_col", "doc_id")
-    found = near_duplicates(docs, **options).where("id > component")
-    return docs.join(found.select(F.col("id").alias(id_col)).distinct(), id_col, "left_anti").select(docs.columns)
+    found = near_duplicates(docs, **options).where("id > component").select(F.col("id").alias(id_col)).distinct()
+    found, size = materialize_measured(found, "near-duplicates")
+    found = F.broadcast(found) if size <= BROADCAST_LIMIT_BYTES else found  # then no text moves
+    return docs.join(found, id_col, "left_anti").select(docs.columns)

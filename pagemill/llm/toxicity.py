@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm.common import slices
 from pagemill.runtime import materialize
 
 # Letters that digits and symbols are written for.
@@ -322,7 +323,7 @@ def drop_toxic(docs: DataFrame, model: Model, least: float = 0.7, text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(Model(*shared.value))
-        for batch in batches:
+        for batch in slices(batches):
             keep = [scorer.document(text.as_py() or "")[0] < least for text in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

@@ -259,3 +259,10 @@ def test_pipeline_stages_on_awkward_and_empty_documents(spark, tmp_path):
         assert stages[0] == stages[1] and stages[2] <= stages[1]
         out = corpus_pipeline.run(spark, str(folder))
         assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and (out.count() > 0) == bool(rows)
+
+
+def test_near_duplicates_go_without_moving_texts(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (3, "other words than these")], "doc_id long, text string")
+    kept = simhash.drop_near_duplicates(docs)
+    assert "hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3]

@@ -4,11 +4,12 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
 
-from pagemill.llm import line_dedup, substring, toxicity
+from pagemill.llm import common, line_dedup, substring, toxicity
 from pagemill.llm.common import bit_links
 from pagemill.llm.sentencepiece_codec import Codec
 from pagemill.llm.simhash import fingerprint, pivots
@@ -136,3 +137,10 @@ def test_pieces_stand_side_by_side_exactly_where_merging_leaves_them():
     pairs = [(rng.choice(pieces), rng.choice(pieces)) for _ in range(1500)] + [(rng.choice(short), rng.choice(short)) for _ in range(1500)]
     pairs += [(p, p) for p in rng.sample(pieces, 200)]
     assert all(model.compatible(a, b) == (model.merge(a + b) == [a, b]) for a, b in pairs)
+
+
+def test_batches_of_texts_are_cut_into_slices():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2_500))], ["x"])
+    cut = list(common.slices(iter([batch, batch.slice(0, 0), batch.slice(0, 3)])))
+    assert [b.num_rows for b in cut] == [1000, 1000, 500, 3]
+    assert pa.Table.from_batches(cut).column("x").to_pylist() == [*range(2_500), 0, 1, 2]
