@@ -24,6 +24,7 @@ from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +32,9 @@ from pyspark.sql import functions as F
 from pagemill.runtime import materialize
 
 WINDOW = 2
-BLOCK = 32_768
+BLOCK = 2_048
 BATCH = 512
+WORDS_HELD = 200_000
 MOST_COUNTED = 300_000
 
 
@@ -125,97 +127,143 @@ class Network:
         return np.concatenate([embed, np.full(hidden, 0.1), out, prior]).astype(np.float32)
 
     def hidden(self, contexts: list[np.ndarray]) -> np.ndarray:
-        h = self.bias + self.embed[0][contexts[0]]
+        h = self.embed[0].take(contexts[0], axis=0)
         for place in range(1, len(contexts)):
-            h += self.embed[place][contexts[place]]
+            h += self.embed[place].take(contexts[place], axis=0)
+        h += self.bias
         return np.maximum(h, 0, out=h)
 
+    def logits(self, h: np.ndarray) -> np.ndarray:
+        made = h @ self.out
+        made += self.out_bias
+        made -= made.max(axis=1, keepdims=True)
+        return made
+
     def log_prob(self, contexts: list[np.ndarray], target: np.ndarray) -> np.ndarray:
-        logits = self.hidden(contexts) @ self.out + self.out_bias
-        logits -= logits.max(axis=1, keepdims=True)
+        logits = self.logits(self.hidden(contexts))
         chosen = logits[np.arange(target.size), target]
-        return chosen - np.log(np.exp(logits, out=logits).sum(axis=1))
+        return chosen - np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], np.float32))
 
     def step(self, contexts: list[np.ndarray], target: np.ndarray, rate: float) -> None:
         """One step of gradient descent on the mean loss of a batch."""
+        n, each = target.size, np.float32(rate / target.size)
         h = self.hidden(contexts)
-        logits = h @ self.out + self.out_bias
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(target.size), target] -= 1
-        p *= rate / target.size
-        back = (p @ self.out.T) * (h > 0)
+        p = self.logits(h)
+        np.exp(p, out=p)
+        p *= (each / (p @ np.ones(p.shape[1], np.float32)))[:, None]
+        p[np.arange(n), target] -= each
+        back = p @ self.out.T
+        back *= h > 0
+        every = np.ones(n, np.float32)
         self.out -= h.T @ p
-        self.out_bias -= p.sum(axis=0)
-        self.bias -= back.sum(axis=0)
-        rows = np.arange(self.embed.shape[1])[:, None]
+        self.out_bias -= every @ p
+        self.bias -= every @ back
+        places, classes, width = self.embed.shape
+        hits = np.zeros((places, classes, n), np.float32)
         for place, context in enumerate(contexts):
-            self.embed[place] -= (rows == context).astype(np.float32) @ back
+            hits[place, context, np.arange(n)] = 1
+        self.embed -= (hits.reshape(-1, n) @ back).reshape(places, classes, width)
+
 
+def _windows(codes: pa.Array, classes: int, pad: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Some texts at a time: their numbers of words, the classes of the words with `pad` around each
+    text, and the places of the words among these."""
+    kind, at = code_type(classes), 0
+    sizes = np.array([len(text) // kind.itemsize for text in codes.to_pylist()], np.int64)
+    ends = np.cumsum(sizes)
+    while at < sizes.size:
+        upto = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + WORDS_HELD, "right")))
+        some = sizes[at:upto]
+        places = np.arange(some.sum()) + np.repeat(2 * WINDOW * np.arange(some.size) + WINDOW, some)
+        padded = np.full(places.size + 2 * WINDOW * some.size, pad)
+        padded[places] = np.frombuffer(b"".join(codes.slice(at, upto - at).to_pylist()), kind)
+        yield some, padded, places
+        at = upto
 
-class _Classes(dict):
-    """The class of every word; only frequent ones are stored."""
 
-    def __init__(self, known: Vocabulary):
-        super().__init__(zip(known.words, known.class_of.tolist(), strict=True))
-        self.first, self.classes = known.first_rest, known.log_prior.size
+def code_type(classes: int) -> np.dtype:
+    return np.dtype(np.uint8 if classes <= 256 else np.uint16 if classes <= 65_536 else np.uint32)
 
-    def __missing__(self, word: str) -> int:
-        return rest_class(word, self.first, self.classes)
 
+def _around(padded: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    return [padded.take(at + d) for d in (*range(-WINDOW, 0), *range(1, WINDOW + 1))]
 
-def _contexts(padded: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    return [padded[at + d] for d in (*range(-WINDOW, 0), *range(1, WINDOW + 1))]
 
+def coded(docs: DataFrame, words: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, n_tokens, codes, part, rest), one for each row of `docs`: the classes of its words, the
+    logs of their shares of these but for the counts of the words in `rest`."""
+    classes = words.log_prior.size
+    shared = docs.sparkSession.sparkContext.broadcast(astuple(words))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, kind = Vocabulary(*shared.value), code_type(classes)
+        get = known.words.get
+        for batch in batches:
+            sizes, codes, parts, ends, rest_words, rest_counts = [], [], [], [0], [], []
+            for text in batch.column(1):
+                tokens = (text.as_py() or "").lower().split()
+                places = np.fromiter((get(w, -1) for w in tokens), np.int64, len(tokens))
+                rare = np.flatnonzero(places < 0)
+                rest = [tokens[i] for i in rare.tolist()]
+                found = np.zeros(places.size, kind)
+                frequent = places[places >= 0]
+                found[places >= 0] = known.class_of[frequent]
+                found[rare] = [rest_class(word, known.first_rest, classes) for word in rest]
+                parts.append(float(known.log_inside[frequent].sum()) - float(known.log_sums[found[rare]].sum()))
+                counted = Counter(rest)
+                rest_words += counted
+                rest_counts += counted.values()
+                ends.append(len(rest_words))
+                sizes.append(places.size)
+                codes.append(found.tobytes())
+            rest = pa.StructArray.from_arrays([pa.array(rest_words, pa.string()), pa.array(rest_counts, pa.int64())], ["word", "k"])
+            rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest)
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(codes, pa.binary()), pa.array(parts, pa.float64()), rest]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "codes", "part", "rest"])
 
-def train(docs: DataFrame, words: Vocabulary, hidden: int, rounds: int, stride: int, rate: float, text_col: str = "text") -> np.ndarray:
+    return source.mapInArrow(run, "id long, n_tokens long, codes binary, part double, rest array<struct<word: string, k: long>>")
+
+
+def train(coded: DataFrame, prior: np.ndarray, hidden: int, rounds: int, stride: int, rate: float) -> np.ndarray:
     """Weights after `rounds` of parallel descent: every task starts from the same weights, learns from
     all words of its part (or one in `stride` of each text), and the results are averaged by their
     number of words, in Spark. What trains grows with the corpus; what comes back doesn't."""
-    classes = words.log_prior.size
-    weights = Network.start(words.log_prior, hidden)
-    source = docs.select(F.col(text_col).cast("string").alias("text"))
+    classes, weights = prior.size, Network.start(prior, hidden)
     for number in range(rounds):
-        shared = docs.sparkSession.sparkContext.broadcast((astuple(words), weights))
+        shared = coded.sparkSession.sparkContext.broadcast(weights)
 
         def run(batches: Iterator[pa.RecordBatch], number=number, shared=shared) -> Iterator[pa.RecordBatch]:
-            known, own = Vocabulary(*shared.value[0]), shared.value[1].copy()
-            network, seen, pad = Network(classes, hidden, own), 0, known.log_prior.size
-            classed = _Classes(known)
-            held, size = [], 0
+            own = shared.value.copy()
+            network, seen = Network(classes, hidden, own), 0
+            held = np.empty((2 * WINDOW + 1, 0), np.int64)
 
             def learn(least: int) -> None:
                 """Steps over what is held; fewer than `least` windows are kept for later."""
-                nonlocal held, size, seen
-                table, at = np.concatenate(held), 0
+                nonlocal held, seen
+                at, size = 0, held.shape[1]
                 while size - at >= least:
-                    some = table[at : at + BATCH]
-                    network.step([some[:, i] for i in range(2 * WINDOW + 1) if i != WINDOW], some[:, WINDOW], rate)
-                    seen += len(some)
-                    at += len(some)
-                held, size = [table[at:].copy()], size - at
+                    *around, target = held[:, at : at + BATCH]
+                    network.step(around, target, rate)
+                    seen += target.size
+                    at += target.size
+                held = held[:, at:].copy()
 
             for batch in batches:
-                for text in batch.column(0):
-                    tokens = (text.as_py() or "").lower().split()
-                    n = len(tokens)
-                    if not n:
-                        continue
-                    padded = np.pad(np.fromiter(map(classed.__getitem__, tokens), np.int32, n), WINDOW, constant_values=pad)
-                    view = np.lib.stride_tricks.sliding_window_view(padded, 2 * WINDOW + 1)
-                    view = view[(n + number) % stride if n > stride else 0 :: stride]
-                    for start in range(0, len(view), BLOCK):
-                        held.append(view[start : start + BLOCK])
-                        size += len(held[-1])
-                        if size >= BATCH:
-                            learn(BATCH)
-            if size:
+                for sizes, padded, at in _windows(batch.column(0), classes, classes):
+                    if stride > 1:
+                        first = np.where(sizes > stride, (sizes + number) % stride, 0)
+                        own_place = np.arange(at.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                        wanted = own_place - np.repeat(first, sizes)
+                        at = at[(wanted >= 0) & (wanted % stride == 0)]
+                    held = np.concatenate([held, [*_around(padded, at), padded[at]]], axis=1)
+                    learn(BATCH)
+            if held.size:
                 learn(1)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([own.tolist()], pa.list_(pa.float32())), pa.array([seen], pa.int64())], ["w", "n"])
 
-        parts = source.mapInArrow(run, "w array<float>, n long").select("n", F.posexplode("w").alias("i", "w"))
+        parts = coded.select("codes").mapInArrow(run, "w array<float>, n long").select("n", F.posexplode("w").alias("i", "w"))
         mean = parts.groupBy("i").agg((F.sum(F.col("w").cast("double") * F.col("n")) / F.sum("n")).alias("w"))
         found = mean.collect()
         if found:
@@ -230,42 +278,32 @@ def score(
     """Rows (id, n_tokens, log_prob, mean_log_prob), one for each row of `docs`."""
     counts = materialize(word_counts(docs, text_col), "word-counts")
     words = vocabulary(counts, size, classes)
-    weights = train(docs, words, hidden, rounds, stride, rate, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast((astuple(words), weights))
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    # Written once: two rounds of training and the scores read the classes of the words, not the
+    # texts, and row numbers hold.
+    made = coded(docs, words, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    made = materialize(made, "lm-codes")
+    shared = docs.sparkSession.sparkContext.broadcast(train(made, words.log_prior, hidden, rounds, stride, rate))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, network = Vocabulary(*shared.value[0]), Network(classes, hidden, shared.value[1])
-        get, classed = known.words.get, _Classes(known)
+        network = Network(classes, hidden, shared.value)
         for batch in batches:
-            sizes, sums, ends, rest_words, rest_counts = [], [], [0], [], []
-            for text in batch.column(1):
-                tokens = (text.as_py() or "").lower().split()
-                n = len(tokens)
-                places = np.fromiter((get(w, -1) for w in tokens), np.int32, n)
-                padded = np.pad(np.fromiter(map(classed.__getitem__, tokens), np.int32, n), WINDOW, constant_values=classes)
-                rare = np.flatnonzero(places < 0)
-                total = float(known.log_inside[places[places >= 0]].sum()) - float(known.log_sums[padded[rare + WINDOW]].sum())
-                for start in range(0, n, BLOCK):
-                    at = np.arange(start, min(start + BLOCK, n)) + WINDOW
-                    total += float(network.log_prob(_contexts(padded, at), padded[at]).sum(dtype=np.float64))
-                rest = Counter([tokens[i] for i in rare.tolist()])
-                rest_words += rest
-                rest_counts += rest.values()
-                ends.append(len(rest_words))
-                sizes.append(n)
-                sums.append(total)
-            rest = pa.StructArray.from_arrays([pa.array(rest_words, pa.string()), pa.array(rest_counts, pa.int64())], ["word", "k"])
-            rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest)
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), rest]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "part", "rest"])
-
-    made = source.mapInArrow(run, "id long, n_tokens long, part double, rest array<struct<word: string, k: long>>")
-    # Written before it is read twice, so that the row numbers hold.
-    made = materialize(made.withColumn("row", F.monotonically_increasing_id()), "lm-parts")
+            sums = []
+            for sizes, padded, places in _windows(batch.column(3), classes, classes):
+                probs = np.zeros(places.size)
+                for start in range(0, places.size, BLOCK):
+                    at = places[start : start + BLOCK]
+                    probs[start : start + BLOCK] = network.log_prob(_around(padded, at), padded[at])
+                own, some = np.zeros(sizes.size), sizes > 0
+                if some.any():
+                    own[some] = np.add.reduceat(probs, (np.cumsum(sizes) - sizes)[some])
+                sums += own.tolist()
+            part = pc.add(batch.column(4), pa.array(sums, pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], part], ["row", "id", "n_tokens", "part"])
+
+    scored = made.select("row", "id", "n_tokens", "codes", "part").mapInArrow(run, "row long, id long, n_tokens long, part double")
     rare = made.select("row", F.explode("rest").alias("x")).select("row", F.col("x.word").alias("word"), F.col("x.k").alias("k"))
     logs = rare.join(counts, "word").groupBy("row").agg(F.sum(F.col("k") * F.log("n")).alias("rare"))
     log_prob = F.col("part") + F.coalesce("rare", F.lit(0.0))
-    joined = made.select("row", "id", "n_tokens", "part").join(logs, "row", "left")
+    joined = scored.join(logs, "row", "left")
     mean = F.when(F.col("n_tokens") > 0, log_prob / F.col("n_tokens"))
     return joined.select("id", "n_tokens", log_prob.alias("log_prob"), mean.alias("mean_log_prob"))

@@ -261,6 +261,20 @@ def test_pipeline_stages_on_awkward_and_empty_documents(spark, tmp_path):
         assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and (out.count() > 0) == bool(rows)
 
 
+def test_words_are_split_once_to_train_and_score(spark):
+    """Two rounds of training and the scores read the classes of the words; texts are read to count and to code them."""
+    read = spark.sparkContext.accumulator(0)
+
+    def text(i):
+        read.add(1)
+        return "one two three four " * (i % 5)
+
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.udf(text, "string")("id").alias("text"))
+    got = {r["id"]: r["n_tokens"] for r in lm_score.score(docs, classes=5, hidden=4).collect()}
+    assert got == {i: 4 * (i % 5) for i in range(40)}
+    assert read.value == 2 * 40
+
+
 def test_near_duplicates_go_without_moving_texts(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (3, "other words than these")], "doc_id long, text string")
     kept = simhash.drop_near_duplicates(docs)

@@ -9,7 +9,7 @@ import pytest
 import sentencepiece
 import xxhash
 
-from pagemill.llm import common, line_dedup, substring, toxicity
+from pagemill.llm import common, line_dedup, lm_score, substring, toxicity
 from pagemill.llm.common import bit_links
 from pagemill.llm.sentencepiece_codec import Codec
 from pagemill.llm.simhash import fingerprint, pivots
@@ -144,3 +144,12 @@ def test_batches_of_texts_are_cut_into_slices():
     cut = list(common.slices(iter([batch, batch.slice(0, 0), batch.slice(0, 3)])))
     assert [b.num_rows for b in cut] == [1000, 1000, 500, 3]
     assert pa.Table.from_batches(cut).column("x").to_pylist() == [*range(2_500), 0, 1, 2]
+
+
+def test_windows_do_not_cross_texts():
+    codes = [[1, 2, 3], [], [4], [0, 5]]
+    column = pa.array([np.array(c, np.uint8).tobytes() for c in codes], pa.binary())
+    (sizes, padded, at), = lm_score._windows(column, 9, 9)
+    assert sizes.tolist() == [3, 0, 1, 2] and padded[at].tolist() == [1, 2, 3, 4, 0, 5]
+    around = np.stack(lm_score._around(padded, at), axis=1).tolist()
+    assert around == [[9, 9, 2, 3], [9, 1, 3, 9], [1, 2, 9, 9], [9, 9, 9, 9], [9, 9, 5, 9], [9, 0, 9, 9]]
