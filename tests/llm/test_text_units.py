@@ -139,6 +139,19 @@ def test_pieces_stand_side_by_side_exactly_where_merging_leaves_them():
     assert all(model.compatible(a, b) == (model.merge(a + b) == [a, b]) for a, b in pairs)
 
 
+def test_simhashes_of_lines_beyond_byte_counts():
+    rng = random.Random(11)
+    sizes = [1, 254, 255, 256, 3, 700, 5_000, 2]
+    words = [b"%d" % rng.randrange(6) for _ in range(sum(sizes))]
+    for some in (sizes, [n for n in sizes if n < 256]):
+        got, at = line_dedup.simhashes(words[: sum(some)], some).view(np.uint64).tolist(), 0
+        for n, value in zip(some, got, strict=True):
+            hashes = [xxhash.xxh64_intdigest(w) for w in words[at : at + n]]
+            bits = [2 * sum(h >> bit & 1 for h in hashes) > n for bit in range(64)]
+            assert value == sum(on << bit for bit, on in enumerate(bits))
+            at += n
+
+
 def test_batches_of_texts_are_cut_into_slices():
     batch = pa.RecordBatch.from_arrays([pa.array(range(2_500))], ["x"])
     cut = list(common.slices(iter([batch, batch.slice(0, 0), batch.slice(0, 3)])))
