@@ -33,6 +33,11 @@ TABLE = bytes(
 )
 BLOCK = 4_096
 BATCH_WORDS = 200_000
+PIECE = 64
+LANES = 4_096
+PAIRS = 2_000
+FEW = 16
+STEP = 256
 
 
 def normal_lines(text: bytes | None) -> list[list[bytes]]:
@@ -147,6 +152,95 @@ def similar(one: str, other: str, least: float) -> bool:
     return edit_distance(one, other) <= most
 
 
+def apart(texts: list[str], one: np.ndarray, other: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """For pairs of texts, given by their rows, whether a bound shows that they are more than `most` edits
+    apart; where it does not, they may be. An alignment of few edits meets each piece of 64 characters
+    near its own place in the other text, so the least edits of pieces to anything there add up to
+    no more than the distance. Every second piece is asked first, the others where these leave it open."""
+    rows, at = np.unique(np.concatenate([one, other]), return_inverse=True)
+    used = [texts[row] for row in rows.tolist()]
+    sizes = np.fromiter(map(len, used), np.int64, len(used))
+    starts = np.cumsum(sizes) - sizes
+    marks = np.frombuffer("".join(used).encode("utf-32-le"), np.uint32).astype(np.uint8) & 63
+    one, other, most = at[: one.size], at[one.size :], most.astype(np.int64)
+    pieces = -(-sizes[one] // PIECE)
+    edits, pairs = np.zeros(one.size, np.int64), np.arange(one.size)
+    for first in (0, 1):
+        counts = (pieces[pairs] + 1 - first) // 2
+        lane = np.repeat(pairs, counts)
+        begin = PIECE * (first + 2 * (np.arange(lane.size) - np.repeat(np.cumsum(counts) - counts, counts)))
+        for low in range(0, lane.size, LANES):
+            pair, begins = lane[low : low + LANES], begin[low : low + LANES]
+            widths = np.minimum(PIECE, sizes[one[pair]] - begins)
+            left = np.maximum(0, begins - most[pair])
+            right = np.maximum(left, np.minimum(sizes[other[pair]], begins + widths + most[pair]))
+            found = piece_edits(marks, starts[one[pair]] + begins, widths, starts[other[pair]] + left, right - left)
+            np.add.at(edits, pair, found)
+        pairs = np.flatnonzero((edits <= most) & (4 * edits > most))
+    return edits > most
+
+
+def piece_edits(marks: np.ndarray, at: np.ndarray, widths: np.ndarray, places: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each piece of at most 64 marks, the least edits to any run of marks within a span, by bit vectors."""
+    n = at.size
+    order = np.argsort(-lengths, kind="stable")  # those whose span has ended stand last
+    at, widths, places, lengths = at[order], widths[order], places[order], lengths[order]
+    masks, rows = np.zeros((n, 64), np.uint64), np.arange(n)
+    for i in range(int(widths.max(initial=0))):
+        some = rows[widths > i]
+        masks[some, marks[at[some] + i]] |= np.uint64(1 << i)
+    masks, base = masks.ravel(), rows * 64
+    up, down = np.full(n, np.uint64(2**64 - 1)), np.zeros(n, np.uint64)
+    top, one = (widths - 1).astype(np.uint64), np.uint64(1)
+    score = widths.astype(np.int64)
+    best = score.copy()
+    for i, open_ in enumerate(np.searchsorted(-lengths, -np.arange(int(lengths.max(initial=0))), "left").tolist()):
+        if open_ < top.size:
+            base, places, up, down, top, score = (x[:open_] for x in (base, places, up, down, top, score))
+        same = masks[base + marks[places + i]]
+        vertical = same | down
+        carried = (((same & up) + up) ^ up) | same
+        rises, falls = down | ~(carried | up), up & carried
+        score += ((rises >> top) & one).view(np.int64)
+        score -= ((falls >> top) & one).view(np.int64)
+        np.minimum(best[:open_], score, out=best[:open_])
+        rises <<= one
+        falls <<= one
+        up, down = falls | ~(vertical | rises), rises & vertical
+    found = np.empty(n, np.int64)
+    found[order] = best
+    return found
+
+
+def text_links(prints: np.ndarray, texts: list[str], max_bits: int, least: float) -> list[tuple[int, int]]:
+    """Links that connect the lines of one cell exactly as all its pairs within `max_bits` bits that are
+    similar would. Lines already connected are not compared again. Some lines at a time meet all later
+    ones, more while few are linked, and pairs that `apart` can tell are not compared in full."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    root, links, at, step = np.arange(prints.size), [], 0, 1
+    while at < prints.size - 1:
+        rows, later = np.arange(at, min(at + step, prints.size)), np.arange(at + 1, prints.size)
+        near = np.bitwise_count(prints[rows, None] ^ prints[None, later]) <= max_bits
+        near &= (root[rows, None] != root[None, later]) & (rows[:, None] < later[None, :])
+        one, other = np.nonzero(near)
+        one, other = one + at, other + at + 1
+        most = (1 - least) * np.maximum(sizes[one], sizes[other]) + 1e-9
+        close = np.abs(sizes[one] - sizes[other]) <= most
+        one, other, most = one[close], other[close], most[close]
+        before = len(links)
+        for low in range(0, one.size, PAIRS):
+            some = low + np.flatnonzero(root[one[low : low + PAIRS]] != root[other[low : low + PAIRS]])
+            if some.size >= FEW:
+                some = some[~apart(texts, one[some], other[some], most[some])]
+            for i, j in zip(one[some].tolist(), other[some].tolist(), strict=True):
+                if root[i] != root[j] and similar(texts[i], texts[j], least):
+                    links.append((i, j))
+                    root[root == root[j]] = root[i]
+        at += step
+        step = min(2 * step, STEP) if 4 * (len(links) - before) <= one.size else max(1, step // 2)
+    return links
+
+
 def _links(rows: DataFrame, key: str, max_bits: int, similarity: float | None) -> DataFrame:
     """Edges (a, b) over lines (h, sim[, norm]) that share a key; with a similarity,
     only those that the normalised texts confirm."""
@@ -162,11 +256,11 @@ def _links(rows: DataFrame, key: str, max_bits: int, similarity: float | None) -
                 near = start + np.flatnonzero(near_pairs(sims[start:end], max_bits))
                 if near.size < 2:
                     continue
-                accept = None
                 if similarity:
-                    texts = table.column("norm").take(pa.array(near)).to_pylist()
-                    accept = lambda i, others, texts=texts: np.array([similar(texts[i], texts[j], similarity) for j in others.tolist()])
-                links = np.array(bit_links(sims[near], max_bits, sims[near[:1]], accept), int).reshape(-1, 2)
+                    links = text_links(sims[near], table.column("norm").take(pa.array(near)).to_pylist(), max_bits, similarity)
+                else:
+                    links = bit_links(sims[near], max_bits, sims[near[:1]])
+                links = np.array(links, int).reshape(-1, 2)
                 found_a.append(names[near[links[:, 0]]])
                 found_b.append(names[near[links[:, 1]]])
             if found_a:

@@ -166,3 +166,53 @@ def test_windows_do_not_cross_texts():
     assert sizes.tolist() == [3, 0, 1, 2] and padded[at].tolist() == [1, 2, 3, 4, 0, 5]
     around = np.stack(lm_score._around(padded, at), axis=1).tolist()
     assert around == [[9, 9, 2, 3], [9, 1, 3, 9], [1, 2, 9, 9], [9, 9, 9, 9], [9, 9, 5, 9], [9, 0, 9, 9]]
+
+
+def edited(rng, text, share):
+    out = []
+    for c in text:
+        if rng.random() >= share:
+            out.append(c)
+        elif rng.random() < 0.7:
+            out += rng.choice("abñ語 ") if rng.random() < 0.5 else [c, rng.choice("xyz")]
+    return "".join(out)
+
+
+def test_no_bound_passes_the_edit_distance():
+    rng, texts = random.Random(3), ["", "a", "b" * 64]
+    for _ in range(60):
+        base = "".join(rng.choice("abcdefgh éß語") for _ in range(rng.choice([3, 30, 63, 64, 65, 128, 200, 300])))
+        texts += [base, edited(rng, base, rng.choice([0.02, 0.1, 0.2, 0.4])), edited(rng, base[rng.randint(0, 9) :], 0.1)]
+    one, other = np.array([(rng.randrange(len(texts)), rng.randrange(len(texts))) for _ in range(600)] + [(i, i + 1) for i in range(len(texts) - 1)]).T
+    most = np.array([0.2 * max(len(texts[i]), len(texts[j])) + 1e-9 for i, j in zip(one, other, strict=True)])
+    far = line_dedup.apart(texts, one, other, most)
+    truly = np.array([line_dedup.edit_distance(texts[i], texts[j]) > limit for i, j, limit in zip(one, other, most, strict=True)])
+    assert not (far & ~truly).any() and (~truly).sum() > 60
+    alike = np.array([abs(len(texts[i]) - len(texts[j])) <= limit for i, j, limit in zip(one, other, most, strict=True)])
+    assert (far & alike).sum() > 0.8 * (truly & alike).sum() > 20
+
+
+def test_lines_of_one_simhash_are_seldom_compared_in_full(monkeypatch):
+    """Frequent words decide a SimHash, so unlike lines share it; their number of pairs is a square."""
+    rng, texts = random.Random(4), []
+    for _ in range(250):
+        line = "".join(rng.choice("abcdefghijk ") for _ in range(rng.randint(150, 200)))
+        texts += [line, edited(rng, line, 0.03)] if rng.random() < 0.2 else [line]
+    prints = np.full(len(texts), 7, np.uint64)
+    prints[::3] ^= np.uint64(3)
+    prints[::5] ^= np.uint64(12)
+    compared = []
+    monkeypatch.setattr(line_dedup, "similar", lambda a, b, least, plain=line_dedup.similar: compared.append(1) or plain(a, b, least))
+    links = line_dedup.text_links(prints, texts, 3, 0.8)
+    assert len(compared) < 4 * len(texts)  # of 40,000 pairs
+    monkeypatch.undo()
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if int(prints[i] ^ prints[j]).bit_count() <= 3]
+    expected = [(i, j) for i, j in near if abs(len(texts[i]) - len(texts[j])) <= 40 and line_dedup.edit_distance(texts[i], texts[j]) <= 0.2 * max(len(texts[i]), len(texts[j])) + 1e-9]
+
+    def groups(pairs):
+        root = list(range(len(texts)))
+        for i, j in pairs:
+            root = [root[i] if r == root[j] else r for r in root]
+        return {frozenset(k for k in range(len(texts)) if root[k] == r) for r in root}
+
+    assert len(expected) > 30 and groups(links) == groups(expected)
